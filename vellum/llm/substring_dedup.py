@@ -49,8 +49,9 @@ _BYTE = np.frombuffer(hashlib.shake_128(b"anchor bytes").digest(2048), "<u8")
 _POSITION = np.uint64(0xFFFFFFFF)
 
 ANCHOR = "block long, hash long, context long, n long, tid long, pos int"
-CONTEXT = "hash binary, block long, tid long, pos int, left int, bytes binary, n long"
+CONTEXT = "hash binary, block long, tid long, pos int, left int, bytes binary, n long, low int, high int"
 SPANS = "block long, hash long, context long, tid long, spans array<int>"
+CONTEXT_FIELDS = [("hash", pa.binary()), ("block", pa.int64()), ("tid", pa.int64()), ("pos", pa.int32()), ("left", pa.int32()), ("bytes", pa.binary()), ("n", pa.int64()), ("low", pa.int32()), ("high", pa.int32())]
 RESULT = "sha binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
@@ -153,9 +154,9 @@ def _fetch(docs: pa.Table, wanted: pa.Table) -> pa.Table:
             begin = max(0, r["pos"] - REACH)
             data = text[begin : r["pos"] + WINDOW]
             if _signed(xxhash.xxh3_64_intdigest(data)) == r["context"]:
-                rows.append((r["hash"].to_bytes(8, "big", signed=True), r["block"], r["tid"], r["pos"], r["pos"] - begin, data, r["n"]))
+                rows.append((r["hash"].to_bytes(8, "big", signed=True), r["block"], r["tid"], r["pos"], r["pos"] - begin, data, r["n"], 0, REACH))
                 break
-    return _table(rows, [("hash", pa.binary()), ("block", pa.int64()), ("tid", pa.int64()), ("pos", pa.int32()), ("left", pa.int32()), ("bytes", pa.binary()), ("n", pa.int64())])
+    return _table(rows, CONTEXT_FIELDS)
 
 
 def _table(rows: list[tuple], fields: list[tuple]) -> pa.Table:
@@ -245,34 +246,32 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _sorted_groups(core: tuple[int, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by hash; a group has GROUP members at most."""
-        held: list[tuple] = []
-
-        def solve() -> list[tuple]:
-            rows = []
-            by_gram: dict[bytes, list[tuple]] = {}
-            for m in held:
-                by_gram.setdefault(m[5][m[4] + core[0] : m[4] + core[1]], []).append(m)
-            for same in by_gram.values():
-                if len(same) > 1:
-                    for m, spans in zip(same, repeats([(m[4], m[5]) for m in same], core), strict=True):
-                        if spans and m[6] == 1:
-                            rows.append((m[1], 0, 0, m[2], [m[3] + x for s in spans for x in s]))
-            return rows
+def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows arrive sorted by hash; a group has GROUP members at most."""
+    held: list[tuple] = []
 
-        for batch in batches:
-            rows = []
-            for m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][0] != m[0]:
-                    rows += solve()
-                    held = []
-                held.append(m)
-            yield from _spans(rows)
-        yield from _spans(solve())
+    def solve() -> list[tuple]:
+        rows = []
+        by_gram: dict[bytes, list[tuple]] = {}
+        for m in held:
+            core = (-m[7], WINDOW - m[8])
+            by_gram.setdefault(m[5][m[4] + core[0] : m[4] + core[1]], []).append(m)
+        for same in by_gram.values():
+            if len(same) > 1:
+                for m, spans in zip(same, repeats([(m[4], m[5]) for m in same], core), strict=True):
+                    if spans and m[6] == 1:
+                        rows.append((m[1], 0, 0, m[2], [m[3] + x for s in spans for x in s]))
+        return rows
 
-    return run
+    for batch in batches:
+        rows = []
+        for m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][0] != m[0]:
+                rows += solve()
+                held = []
+            held.append(m)
+        yield from _spans(rows)
+    yield from _spans(solve())
 
 
 def _spans(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -281,56 +280,45 @@ def _spans(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield from _table(rows, fields).to_batches()
 
 
-def _halved(low: int, high: int):
-    """The two halves of the windows that start low..high bytes left of the anchor, each with its bytes."""
-    mid = (low + high) // 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for key, block, tid, pos, left, data, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for a, b in ((low, mid), (mid + 1, high)):
-                    begin, end = left - b, left - a + WINDOW
-                    if a > b or left < a or left - b + WINDOW > len(data):
-                        continue  # no window of this half
-                    own = data[max(0, begin) : end]
-                    middle = data[left - a : left - b + WINDOW]
-                    rows.append((xxhash.xxh3_128_digest(key + bytes([a, b]) + middle), block, tid, pos, left - max(0, begin), own, n, a, b))
-            fields = [("hash", pa.binary()), ("block", pa.int64()), ("tid", pa.int64()), ("pos", pa.int32()), ("left", pa.int32()), ("bytes", pa.binary()), ("n", pa.int64()), ("low", pa.int32()), ("high", pa.int32())]
-            yield from _table(rows, fields).to_batches()
-
-    return run
-
-
-def _split(large: DataFrame, low: int, high: int) -> tuple[DataFrame, DataFrame]:
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Divides the windows that start low..high bytes left of the anchor into halves, each with its bytes."""
+    for batch in batches:
+        rows = []
+        for key, block, tid, pos, left, data, n, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            mid = (low + high) // 2
+            for a, b in ((low, mid), (mid + 1, high)):
+                if a > b or left < a or left - b + WINDOW > len(data):
+                    continue  # no window of this half
+                begin = max(0, left - b)
+                middle = data[left - a : left - b + WINDOW]
+                rows.append((xxhash.xxh3_128_digest(key + bytes([a, b]) + middle), block, tid, pos, left - begin, data[begin : left - a + WINDOW], n, a, b))
+        yield from _table(rows, CONTEXT_FIELDS).to_batches()
+
+
+def _split(large: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of groups that are too large: spans of contexts that repeat in a half, and the halves' groups of different contexts."""
-    parts = large.select(*CONTEXT_COLUMNS).mapInArrow(_halved(low, high), f"{CONTEXT}, low int, high int")
     alike = Window.partitionBy("hash", "bytes")
-    parts = stored(parts.withColumn("copies", F.sum("n").over(alike)).withColumn("nth", F.row_number().over(alike.orderBy("block", "tid", "pos"))), "halves")
-    begin, end = F.col("pos") - F.col("left"), F.col("pos") - F.col("left") + F.octet_length("bytes")
-    whole = parts.where("copies > 1 AND n = 1").select("block", F.lit(0).cast("long").alias("hash"), F.lit(0).cast("long").alias("context"), "tid", F.array(begin, end).alias("spans"))
+    parts = large.mapInArrow(_halved, CONTEXT).withColumn("copies", F.sum("n").over(alike)).withColumn("nth", F.row_number().over(alike.orderBy("block", "tid", "pos")))
+    parts = stored(parts, "halves")
+    begin = F.col("pos") - F.col("left")
+    whole = parts.where("copies > 1 AND n = 1").select("block", F.lit(0).cast("long").alias("hash"), F.lit(0).cast("long").alias("context"), "tid", F.array(begin, begin + F.octet_length("bytes")).alias("spans"))
     return whole, parts.where("nth = 1").withColumn("n", F.col("copies")).drop("copies", "nth")
 
 
-CONTEXT_COLUMNS = ["hash", "block", "tid", "pos", "left", "bytes", "n"]
-
-
-def _solve(groups: DataFrame, low: int = 0, high: int = REACH) -> DataFrame:
-    """Spans of every context that is alone, over groups of any size."""
-    sizes = groups.groupBy("hash").agg(F.count("*").alias("members"), F.min("n").alias("least")).where("members > 1 AND least = 1")
-    sized = stored(groups.join(sizes, "hash").drop("least"), "groups")
-    small = sized.where(F.col("members") <= GROUP).select(*CONTEXT_COLUMNS).repartition("hash").sortWithinPartitions("hash")
-    spans = small.mapInArrow(_sorted_groups((-low, WINDOW - high)), SPANS)
-    large = sized.where(F.col("members") > GROUP)
-    if low == high or large.isEmpty():
-        return spans
-    whole, halves = _split(large, low, high)
-    spans = spans.union(whole)
-    mid = (low + high) // 2
-    for a, b in ((low, mid), (mid + 1, high)):
-        if a <= b:
-            spans = spans.union(_solve(halves.where((F.col("low") == a) & (F.col("high") == b)).drop("low", "high"), a, b))
-    return spans
+def _solve(groups: DataFrame) -> DataFrame:
+    """Spans of every context that is alone, over groups of any size: eight rounds at most divide REACH + 1 starts."""
+    spans = None
+    while True:
+        sizes = groups.groupBy("hash").agg(F.count("*").alias("members"), F.min("n").alias("least")).where("members > 1 AND least = 1")
+        sized = stored(groups.join(sizes, "hash").select(*(n for n, _ in CONTEXT_FIELDS), "members"), "groups")
+        small = sized.where(F.col("members") <= GROUP).drop("members").repartition("hash").sortWithinPartitions("hash")
+        found = small.mapInArrow(_sorted_groups, SPANS)
+        spans = found if spans is None else spans.union(found)
+        large = sized.where(F.col("members") > GROUP).drop("members")
+        if large.isEmpty():
+            return spans
+        whole, groups = _split(large)
+        spans = spans.union(whole)
 
 
 def _result(sha: bytes, text: bytes, spans: list[tuple[int, int]]) -> tuple:
