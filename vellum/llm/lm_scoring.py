@@ -32,12 +32,13 @@ from pyspark.sql.window import Window
 
 from .common import crc_of_id, narrow, shuffle_width, stored
 
-DEPTH = 3
+DEPTH = 4
+WIDTH = DEPTH + 1
 #: Not a byte of UTF-8: stands before and after each text.
 END = b"\xff"
 #: The end as a token; no word has white space.
 END_WORD = b" "
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 24 << 20
 
 COUNT = "block long, word boolean, key binary, n long"
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double"
@@ -45,13 +46,18 @@ OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts do
 
 def grams(text: bytes) -> np.ndarray:
     """Each byte of text and its end, behind its DEPTH preceding bytes, as one number."""
-    data = np.frombuffer(END * DEPTH + text + END, np.uint8).astype(np.uint32)
+    data = np.frombuffer(END * DEPTH + text + END, np.uint8).astype(np.uint64)
     out = data[: len(data) - DEPTH]
     for k in range(1, DEPTH + 1):
-        out = (out << np.uint32(8)) | data[k : len(data) - DEPTH + k]
+        out = (out << np.uint64(8)) | data[k : len(data) - DEPTH + k]
     return out
 
 
+def numbers(keys: list[bytes]) -> np.ndarray:
+    pad = b"\0" * (8 - WIDTH)
+    return np.frombuffer(b"".join(pad + k for k in keys), ">u8").astype(np.int64)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         by_block: dict[int, list] = {}
@@ -68,15 +74,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for w in text.split():
                         words.setdefault(w, 0)
                     words.setdefault(END_WORD, 0)
-            known = np.unique(np.concatenate([np.zeros(0, np.uint32), *(grams(t) for h, t in docs if not h)]), return_counts=True)
-            other = np.setdiff1d(np.concatenate([np.zeros(0, np.uint32), *(grams(t) for h, t in docs if h)]), known[0])
-            keys = np.concatenate([known[0], other]).astype(">u4").tobytes()
-            n = len(keys) // 4
+            known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(grams(t) for h, t in docs if not h)]), return_counts=True)
+            other = np.setdiff1d(np.concatenate([np.zeros(0, np.uint64), *(grams(t) for h, t in docs if h)]), known[0])
+            keys = np.concatenate([known[0], other]).astype(">u8").tobytes()
+            n = len(keys) // 8
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(words) + n, block)),
                     pa.array(np.r_[np.ones(len(words), bool), np.zeros(n, bool)]),
-                    pa.array([*words, *(keys[i : i + 4] for i in range(0, len(keys), 4))], pa.binary()),
+                    pa.array([*words, *(keys[i - WIDTH : i] for i in range(8, len(keys) + 1, 8))], pa.binary()),
                     pa.array(np.concatenate([np.fromiter(words.values(), np.int64, len(words)), known[1], np.zeros(len(other), np.int64)])),
                 ],
                 names=["block", "word", "key", "n"],
@@ -170,7 +176,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> tuple[Subtrees | None, list[
     if not keys:
         return None, keys
     n = np.concatenate([b.column(1).to_numpy() for b in table]).astype(float)
-    return Subtrees(np.frombuffer(b"".join(keys), ">u4").astype(np.int64), n), keys
+    return Subtrees(numbers(keys), n), keys
 
 
 def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +208,7 @@ def _score(docs: pa.Table, values: pa.Table) -> pa.Table:
     is_word = np.asarray(values.column("word").to_numpy(), bool)
     keys, value = values.column("key").to_pylist(), values.column("value").to_numpy()
     count = {k: int(v) for k, v, w in zip(keys, value, is_word, strict=True) if w}
-    known = np.frombuffer(b"".join(k for k, w in zip(keys, is_word, strict=True) if not w), ">u4").astype(np.uint32)
+    known = numbers([k for k, w in zip(keys, is_word, strict=True) if not w]).astype(np.uint64)
     order = np.argsort(known)
     known, log10 = known[order], value[~is_word][order]
     rows = []

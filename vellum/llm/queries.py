@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, license_scan, near_dedup, packing, quality_rules, sharding, substring_dedup
+from . import exact_dedup, language_id, license_scan, lm_scoring, near_dedup, packing, quality_rules, sharding, substring_dedup
 from .bpe import bpe_round_trip
 from .common import documents
 
@@ -26,6 +26,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -50,7 +54,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_bpe, op5_quality_rules, op6_sharding, op7_near_dedup, op8_license_scan, op9_packing, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_bpe, op4_lm_scoring, op5_quality_rules, op6_sharding, op7_near_dedup, op8_license_scan, op9_packing, op10_substring_dedup)}
 
 #: What SQL can express; the others are tested against brute force, the tokenizers library or held-out accuracy.
 SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE}
