@@ -21,8 +21,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
-from .common import SPACE_BYTES, narrow, shuffle_width, stored
+from .common import SPACE, SPACE_BYTES, narrow, shuffle_width, stored
 
 PARTIAL = "key long, sha binary, norm binary, best_len long, best_id long, n long"
 ENTRY = "range long, bucket long, depth int, key long, chain int, sha binary, keep_id long, group_size long"
@@ -173,6 +174,17 @@ def exact_dedup(docs: DataFrame, **sizes: int) -> DataFrame:
     )
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of docs for each normalised text, with the columns of docs; of rows that repeat its doc_id and text, one."""
+    some_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    kept = exact_dedup(docs).where("kept").select(some_id.alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.withColumn("__id", some_id).withColumn("__sha", F.sha2(F.translate(text, SPACE, "").cast("binary"), 256))
+    alike = Window.partitionBy("__id", "__sha").orderBy(F.length(text).desc(), F.xxhash64("text"))
+    found = rows.join(kept, ["__id", "__sha"], "left_semi").withColumn("__nth", F.row_number().over(alike)).where("__nth = 1")
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 ORACLE = r"""
 WITH n AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
