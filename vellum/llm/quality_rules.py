@@ -133,4 +133,6 @@ def quality(docs: DataFrame, labels: DataFrame | None, **model: int) -> DataFram
 def keep_good(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The rows of docs that are kept, with the columns of docs."""
     rated = measured(docs, ratios(docs, labels), prefix="__quality_")
-    return rated.where("`__quality_kept`").select(*(F.col(f"`{c}`") for c in docs.columns))
+    # a row id keeps the filter above the measures; pushed down it would have them evaluated anew within one another
+    rated = rated.withColumn("__quality_row", F.monotonically_increasing_id())
+    return rated.where("`__quality_kept` AND `__quality_row` >= 0").select(*(F.col(f"`{c}`") for c in docs.columns))
