@@ -189,50 +189,50 @@ def _longest(sides: list[bytes]) -> tuple[list[int], int]:
     return out, _shared(sides[order[0]], sides[order[-1]])
 
 
-def repeats(members: list[tuple[int, bytes]], core: tuple[int, int] = (0, GRAM)) -> list[list[tuple[int, int]]]:
-    """For each (left, bytes): the spans, from its anchor, that a repeated window of the group covers.
+def repeats(members: list[tuple[int, bytes, bool]], core: tuple[int, int] = (0, GRAM)) -> list[list[tuple[int, int]]]:
+    """For each (left, bytes, wanted): the spans, from its anchor, that a repeated window of the group covers.
 
-    core: the bytes, from the anchor, that all windows looked for hold and all members share.
+    core: the bytes, from the anchor, that all windows looked for hold and all
+    members share. What a member shares with no other is cut off at both sides;
+    members that are then equal are one string. Spans are only told where wanted.
     """
     head, tail = core
-    lefts = [b[: a + head][::-1] for a, b in members]
-    rights = [b[a + tail :] for a, b in members]
+    lefts = [b[: a + head][::-1] for a, b, _ in members]
+    rights = [b[a + tail :] for a, b, _ in members]
     left_most, left_all = _longest(lefts)
     right_most, right_all = _longest(rights)
     width = left_all + (tail - head) + right_all
-    text: list[int] = []
-    at: list[tuple[int, int]] = []  # of each symbol: member and position from its anchor
-    chosen = [i for i in range(len(members)) if left_most[i] + (tail - head) + right_most[i] >= WINDOW]
-    ends = len(chosen)
-    for k, i in enumerate(chosen):
-        a = members[i][0]
-        for d in range(left_most[i], left_all, -1):
-            text.append(ends + 1 + members[i][1][a + head - d])
-            at.append((i, head - d))
-        text.append(ends + 257)
-        at.append((i, head - left_all))
-        for d in range(right_all, right_most[i]):
-            text.append(ends + 1 + rights[i][d])
-            at.append((i, tail + d))
-        text.append(k)  # a mark of its own after each
-        at.append((i, -1 << 30))
+    strings: dict[tuple[bytes, bytes], list[int]] = {}
+    for i, (a, data, _) in enumerate(members):
+        if left_most[i] + (tail - head) + right_most[i] >= WINDOW:
+            ends = (data[a + head - left_most[i] : a + head - left_all], rights[i][right_all : right_most[i]])
+            strings.setdefault(ends, []).append(i)
     out: list[list[tuple[int, int]]] = [[] for _ in members]
-    if ends < 2:
+    at = head - left_all
+    for (left, right), own in strings.items():
+        if len(own) > 1:
+            for i in own:
+                out[i] = [(at - len(left), at + width + len(right))]
+    if len(strings) < 2 or not any(len(own) == 1 and members[own[0]][2] for own in strings.values()):
         return out
+    text: list[int] = []
+    begins, base = [], len(strings)
+    for k, (left, right) in enumerate(strings):  # bytes, the shared core as one symbol, and a mark of its own after each
+        begins.append(len(text))
+        text += [base + x for x in left]
+        text.append(base + 256)
+        text += [base + x for x in right]
+        text.append(k)
     order = suffix_array(text)
     lcp = [*common_prefixes(text, order), 0]
-    spans: dict[int, list] = {}
+    shared = [0] * len(text)
     for r, s in enumerate(order):
-        i, p = at[s]
-        h = max(lcp[r], lcp[r + 1])
-        if h and p <= head - left_all:
-            e = at[s + h - 1][1] + 1
-            if at[s + h - 1][1] == head - left_all:  # the shared core is the last symbol
-                e = head - left_all + width
-            if e > head - left_all + 1 and e - p >= WINDOW:
-                spans.setdefault(i, []).append((p, e))
-    for i, own in spans.items():
-        out[i] = merged(own)
+        shared[s] = max(lcp[r], lcp[r + 1])
+    for begin, ((left, _), own) in zip(begins, strings.items(), strict=True):
+        if len(own) == 1:
+            n = len(left)
+            spans = [(at - n + j, at - n + j + h - 1 + width) for j in range(n + 1) if (h := shared[begin + j]) > n - j and h - 1 + width >= WINDOW]
+            out[own[0]] = merged(spans)
     return out
 
 
@@ -258,7 +258,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             by_gram.setdefault(m[5][m[4] + core[0] : m[4] + core[1]], []).append(m)
         for same in by_gram.values():
             if len(same) > 1:
-                for m, spans in zip(same, repeats([(m[4], m[5]) for m in same], core), strict=True):
+                for m, spans in zip(same, repeats([(m[4], m[5], m[6] == 1) for m in same], core), strict=True):
                     if spans and m[6] == 1:
                         rows.append((m[1], 0, 0, m[2], [m[3] + x for s in spans for x in s]))
         return rows
