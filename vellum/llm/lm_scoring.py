@@ -38,7 +38,9 @@ WIDTH = DEPTH + 1
 END = b"\xff"
 #: The end as a token; no word has white space.
 END_WORD = b" "
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
+#: Byte strings are sorted so many at a time.
+CHUNK = 1 << 20
 
 COUNT = "block long, word boolean, key binary, n long"
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double"
@@ -58,6 +60,29 @@ def numbers(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(pad + k for k in keys), ">u8").astype(np.int64)
 
 
+def counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The different byte strings of texts and how often each occurs, by sorting a chunk at a time."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    held, size = [], 0
+
+    def sort() -> None:
+        parts.append(np.unique(np.concatenate(held), return_counts=True))
+        held.clear()
+
+    for text in texts:
+        held.append(grams(text))
+        size += len(text)
+        if size >= CHUNK:
+            sort()
+            size = 0
+    if held:
+        sort()
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return keys, np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         by_block: dict[int, list] = {}
@@ -74,8 +99,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for w in text.split():
                         words.setdefault(w, 0)
                     words.setdefault(END_WORD, 0)
-            known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(grams(t) for h, t in docs if not h)]), return_counts=True)
-            other = np.setdiff1d(np.concatenate([np.zeros(0, np.uint64), *(grams(t) for h, t in docs if h)]), known[0])
+            known = counted([t for h, t in docs if not h])
+            other = np.setdiff1d(counted([t for h, t in docs if h])[0], known[0])
             keys = np.concatenate([known[0], other]).astype(">u8").tobytes()
             n = len(keys) // 8
             yield pa.RecordBatch.from_arrays(
