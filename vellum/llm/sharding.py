@@ -47,6 +47,8 @@ def rectangle(n: int) -> tuple[int, int]:
 
 def longest_walk(spark: SparkSession, n: int, seed: int) -> int:
     """How often the cells beyond n must be walked on until all are inside; fewer than sqrt(n) + 1 such cells."""
+    if n < 2:
+        return 1
     a, b = rectangle(n)
     beyond, steps = spark.range(n, a * b).select(F.col("id").alias("x")), 0
     while True:
