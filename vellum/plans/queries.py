@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as fx
-from ..operators import history, registry, stream
+from ..operators import collate, history, order, registry, stream
+from ..streaming import keyed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -415,3 +416,47 @@ SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*)
 def count_changes(spark, sf_dir):  # noqa: ANN001, ANN201
     tests = {"clicks": F.col("event_type") == "click", "purchases": F.col("event_type") == "purchase", "large": F.col("value") > 50}
     return registry.conditional_counts(table(spark, sf_dir, "events"), ["user_id"], tests)
+
+
+@query()
+def collate_sites(spark, sf_dir):  # noqa: ANN001, ANN201
+    texts = collate.arrays(collate.units_of_lines(table(spark, sf_dir, "documents")))
+    return collate.apparatus(collate.readings(texts))
+
+
+@query()
+def collate_kinds(spark, sf_dir):  # noqa: ANN001, ANN201
+    texts = collate.arrays(collate.units_of_lines(table(spark, sf_dir, "documents")))
+    return collate.site_kinds(collate.readings(texts)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query()
+def order_moves(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Lines that a document has in another order than the first document that begins alike; repeated lines count once, where they come first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("lines"))
+    docs = docs.where(F.size("lines") > 0).withColumn("head", F.sha2(F.get("lines", F.lit(0)), 256))
+    base = docs.groupBy("head").agg(F.min_by("lines", "doc_id").alias("base"), F.min("doc_id").alias("base_id"))
+    pairs = docs.join(base, "head").where("doc_id != base_id")
+    moves = pairs.select("doc_id", "base_id", order.moved("base", "lines").alias("moved"))
+    return moves.select("doc_id", "base_id", F.size("moved").cast("long").alias("n_moved"))
+
+
+@query("""
+WITH w AS (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
+s AS (SELECT *, sum(CASE WHEN ts - p < INTERVAL 20 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM w)
+SELECT user_id, min(ts) AS first_at, max(ts) + INTERVAL 20 MINUTE AS closed_at, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_windows(spark, sf_dir):  # noqa: ANN001, ANN201
+    found = keyed.session_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts")
+    return found.select("user_id", F.col("first_at").cast("timestamp_ntz").alias("first_at"), F.col("closed_at").cast("timestamp_ntz").alias("closed_at"), "n")
+
+
+@query("""SELECT kind, record, "at" AS last_at FROM (SELECT 'user' AS kind, user_id::VARCHAR AS record, max(ts) AS "at" FROM events GROUP BY user_id UNION ALL SELECT 'type', event_type, max(ts) FROM events GROUP BY event_type) WHERE TIMESTAMP '2024-02-01' - "at" >= INTERVAL 3600 SECOND""")
+def quiet_marks(spark, sf_dir):  # noqa: ANN001, ANN201
+    marks = keyed.changes(table(spark, sf_dir, "events"), {"user": "user_id", "type": "event_type"}, "ts")
+    return keyed.quiet(marks, "2024-02-01 00:00:00", 3600).withColumnRenamed("at", "last_at")
+
+
+@query()
+def rate_limited(spark, sf_dir):  # noqa: ANN001, ANN201
+    hits = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("hit_id"), "ts")
+    return keyed.rate_limit_batch(hits, "user_id", "ts", 3, 3600)
