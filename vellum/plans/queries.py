@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as fx
-from ..operators import collate, history, order, registry, stream
+from ..operators import collate, history, order, passages, registry, stream
 from ..streaming import keyed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -460,3 +460,25 @@ def quiet_marks(spark, sf_dir):  # noqa: ANN001, ANN201
 def rate_limited(spark, sf_dir):  # noqa: ANN001, ANN201
     hits = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("hit_id"), "ts")
     return keyed.rate_limit_batch(hits, "user_id", "ts", 3, 3600)
+
+
+@query(r"""
+WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM pages),
+w AS (SELECT page_id, [x for x in regexp_split_to_array(t, '\s+') if x <> ''] AS w FROM t)
+SELECT page_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS form FROM w""")
+def html_to_stream(spark, sf_dir):  # noqa: ANN001, ANN201
+    html = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</(script|style)>", " ")
+    text = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(words).alias("pos", "form")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query()
+def plan_passages(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Lines of documents as segments; a boundary is uncut where the line before does not end a sentence."""
+    from pyspark.sql.window import Window
+
+    lines = tokens(spark, sf_dir).groupBy("doc_id", "line").agg(F.count("*").alias("n_words"), F.max_by("form", "pos").alias("last"))
+    before = F.lag("last").over(Window.partitionBy("doc_id").orderBy("line"))
+    segments = lines.select("doc_id", F.col("line").alias("segment"), "n_words", F.coalesce(~before.rlike(r"[.!?|]$"), F.lit(False)).alias("uncut"))
+    return passages.plan_passages(segments)
