@@ -252,6 +252,15 @@ def test_near_dedup_divides_large_buckets(spark):
     assert components(links).select("label").distinct().count() == 1 and components(links).count() == 30
 
 
+def test_near_dedup_ignores_how_often_a_line_repeats(spark):
+    texts = []
+    for g in range(4):
+        own, line = " ".join(f"g{g}w{k}" for k in range(404)), " ".join(f"g{g}z{k}" for k in range(10))
+        texts += [f"{own} {line}", "\n".join([own, *[line] * 60])]  # sets of 410 and 415 shingles, one within the other
+    classes = by_id(near_dedup.near_classes(documents(spark, texts)))
+    assert [classes[i]["class_id"] for i in range(8)] == [0, 0, 2, 2, 4, 4, 6, 6]
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(0)
     a = rng.integers(1, 1 << 60, 300).astype(np.uint64)

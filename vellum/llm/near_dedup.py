@@ -1,11 +1,12 @@
-"""Near-dedup with ProbMinHash: weighted shingles, banding, verification, classes.
+"""Near-dedup with ProbMinHash: shingles, banding, verification, classes.
 
-A document's shingles are its windows of five words (lower case, split at white
-space), weighted by how often they occur. Each shingle's arrivals form a Poisson
-process whose rate is its weight and whose times depend on the shingle alone;
-an arrival picks a register, and a register keeps the shingle that came first. A
-shingle stops as soon as its arrivals come later than every register's. Two
-documents agree in a register with the probability Jaccard similarity.
+A document's shingles are its distinct windows of five words (lower case, split
+at white space), each of weight 1 however often it occurs, since pairs are
+verified by sets. Each shingle's arrivals form a Poisson process whose rate is its
+weight and whose times depend on the shingle alone; an arrival picks a register,
+and a register keeps the shingle that came first. A shingle stops as soon as its
+arrivals come later than every register's. Two documents agree in a register with
+the Jaccard similarity of their sets of shingles as probability.
 
 Registers are banded. Texts with the same word sequence are one text from the
 start. Of a band's bucket no pairs are made within the group: first each text is
@@ -142,14 +143,14 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0):
             words = words_of(text.as_py())
             if words and (key := word_key(words)) not in found:
-                found[key] = np.unique(shingles(words), return_counts=True)
-        order = sorted(found, key=lambda k: len(found[k][0]))  # documents of like size together
-        for a in _chunks([len(found[k][0]) for k in order], 30_000):
+                found[key] = np.unique(shingles(words))
+        order = sorted(found, key=lambda k: len(found[k]))  # documents of like size together
+        for a in _chunks([len(found[k]) for k in order], 30_000):
             keys = order[a]
-            sig = signatures([found[k] for k in keys])
+            sig = signatures([(found[k], np.ones(len(found[k]))) for k in keys])
             bands = band_keys(sig)
             ids = pa.array([k for k in keys for _ in range(BANDS)], pa.binary())
-            sizes = pa.array(np.repeat([len(found[k][0]) for k in keys], BANDS), pa.int64())
+            sizes = pa.array(np.repeat([len(found[k]) for k in keys], BANDS), pa.int64())
             first = (list(x) if b == 0 else None for x in sketches(sig) for b in range(BANDS))
             yield pa.RecordBatch.from_arrays([pa.array(bands.ravel()), ids, sizes, pa.array(list(first), pa.list_(pa.int64()))], names=["bucket", "id", "n", "sketch"])
 
