@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import struct
 import zlib
@@ -252,6 +253,22 @@ def test_near_dedup_divides_large_buckets(spark):
     assert components(links).select("label").distinct().count() == 1 and components(links).count() == 30
 
 
+def test_near_dedup_pair_that_shares_one_large_bucket(spark):
+    def variant(seed, changes):
+        words = [f"w{k}" for k in range(300)]
+        for j in random.Random(seed).sample(range(4, 296), changes):
+            words[j] = f"v{seed}x{j}"
+        return " ".join(words)
+
+    texts = [variant(1037, 7), variant(6, 3), variant(35, 3)]  # the last two are similar; the first stands before them in the one bucket they share
+    words = [near_dedup.words_of(t) for t in texts]
+    sets = [np.unique(near_dedup.shingles(w)) for w in words]
+    bands = near_dedup.band_keys(near_dedup.signatures([(x, np.ones(len(x))) for x in sets]))
+    key = [near_dedup.word_key(w) for w in words]
+    assert (bands[1] == bands[2]).sum() == 1 and bands[0][bands[1] == bands[2]] == bands[1][bands[1] == bands[2]] and key[0] == min(key)
+    assert [(r["a"], r["b"]) for r in near_dedup.near_links(documents(spark, texts), large=2).collect()] == [tuple(sorted(key[1:]))]
+
+
 def test_near_dedup_ignores_how_often_a_line_repeats(spark):
     texts = []
     for g in range(4):

@@ -9,13 +9,12 @@ arrivals come later than every register's. Two documents agree in a register wit
 the Jaccard similarity of their sets of shingles as probability.
 
 Registers are banded. Texts with the same word sequence are one text from the
-start. Of a band's bucket no pairs are made within the group: first each text is
-compared with the bucket's first. Large buckets are then divided by every other
-large bucket that a text is in, so that texts must agree in two bands there (of
-texts with similarity 0.8 that share a band, all but one in a thousand do), and
-each text is compared with the first of these. Last, the links found so far
-joined to components, only texts outside the first text's component are compared
-with those of other components. Pairs are verified with the exact Jaccard
+start. Each text of a band's bucket is first compared with the bucket's first.
+Then, the links found so far joined to components, texts outside the first text's
+component are compared with all texts of other components, whatever the size of
+the bucket; a large number of them is dealt out in parts, to each of which the
+bucket's texts go. Sketches are compared within the join, so that only pairs that
+can be similar come out of it. Pairs are verified with the exact Jaccard
 similarity of their sets of shingles, at least 0.8.
 
 Defined results: null text counts as empty; texts of one to four words have one
@@ -44,7 +43,7 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 40, 8
 REGISTERS = BANDS * ROWS
-#: Buckets of more texts are divided by a second band; one of so many takes 32,640 comparisons at most.
+#: A bucket's texts outside its first text's component are dealt out in parts of about so many.
 LARGE = 256
 #: Share of registers in which all but one in 4000 pairs of similarity 0.8 agree (3.5 standard deviations below the mean).
 LEAST_AGREEING = 0.8125 - 3.5 * math.sqrt(0.8125 * 0.1875 / REGISTERS)
@@ -196,15 +195,14 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _first_of(rows: DataFrame) -> DataFrame:
-    """Adds to the rows of buckets of two texts or more the bucket's size and first text."""
+    """Adds to the rows of buckets of two texts or more the bucket's first text."""
     rows = rows.distinct()
     buckets = rows.groupBy("bucket").agg(F.min("id").alias("first"), F.min_by("n", "id").alias("n_first"), F.count("*").alias("texts")).where("texts > 1")
-    return rows.join(buckets, "bucket")
+    return rows.join(buckets.drop("texts"), "bucket")
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Adds the component of each text and of its bucket's first."""
-    label = components(links)
+def _labelled(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Adds the component of each text and whether it is another than that of its bucket's first; label as components() gives it."""
     own = label.select(F.col("node").alias("id"), F.col("label"))
     firsts = label.select(F.col("node").alias("first"), F.col("label").alias("first_label"))
     named = members.join(own, "id", "left").join(firsts, "first", "left")
@@ -227,27 +225,20 @@ def near_links(docs: DataFrame, large: int = LARGE) -> DataFrame:
     texts = stored(text.mapInArrow(_texts, "id binary, words binary").join(needed, "id", "left_semi").dropDuplicates(["id"]), "texts")
     links = stored(verified(_with_first(members), texts), "links")
 
-    # the two bands of a text: BANDS * (BANDS - 1) / 2 rows a text at most
-    own = members.where(F.col("texts") > large).groupBy("id", "n").agg(F.array_sort(F.collect_set("bucket")).alias("own"))
-    two = own.select("id", "n", "own", F.explode("own").alias("x")).select("id", "n", "x", F.explode("own").alias("y")).where("x < y")
-    two = _first_of(two.select(F.xxhash64("x", "y").alias("bucket"), "id", "n", "x", "y"))
-    two = stored(two, "two-bands")
-    if not two.isEmpty():
-        links = stored(links.union(verified(_with_first(_labelled(two, links).where("outside")), texts)), "links")
-
-    known = rows.where("sketch IS NOT NULL").select("id", "sketch").dropDuplicates(["id"]).join(needed, "id", "left_semi").join(own.select("id", "own"), "id", "left")
-    few = members.where(F.col("texts") <= large).groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("few"))
-    known = stored(known.join(few, "id", "left"), "known")
-    every = members.where(F.col("texts") <= large).withColumns({"x": F.lit(None).cast("long"), "y": F.lit(None).cast("long")}).unionByName(two)
-    mixed_up = every.join(_labelled(every, links).where("outside").select("bucket").distinct(), "bucket", "left_semi")
-    named = stored(_labelled(mixed_up, links).join(known, "id"), "named")
-    left = named.where("outside").select("bucket", "x", "y", F.col("id").alias("a"), F.col("n").alias("n_first"), F.col("label").alias("la"), F.col("sketch").alias("sa"), F.col("own").alias("oa"), F.col("few").alias("fa"))
-    right = named.where("id != first").select("bucket", F.col("id").alias("b"), "n", F.col("label").alias("lb"), F.col("outside").alias("ob"), F.col("sketch").alias("sb"), F.col("own").alias("bb"), F.col("few").alias("fb"))
-    # a pair counts in the first small bucket and in the first two large ones that it shares
-    shared = F.array_intersect("oa", "bb")
-    first_small = F.col("x").isNull() & (F.get(F.array_intersect("fa", "fb"), F.lit(0)) == left["bucket"])
-    here = first_small | ((F.get(shared, F.lit(0)) == F.col("x")) & (F.get(shared, F.lit(1)) == F.col("y")))
-    able = (left["bucket"] == right["bucket"]) & F.expr("la != lb AND (NOT ob OR a < b)") & F.expr(FITS) & (_agreeing("sa", "sb") >= math.floor(REGISTERS * LEAST_AGREEING)) & here
+    label = components(links)
+    mixed_up = _labelled(members, label).where("outside").groupBy("bucket").agg(F.ceil(F.count("*") / large).cast("int").alias("parts"))
+    mixed_up = stored(mixed_up, "mixed")
+    named = _labelled(members.join(mixed_up, "bucket"), label)
+    own = members.join(mixed_up, "bucket", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("own"))
+    known = rows.where("sketch IS NOT NULL").select("id", "sketch").dropDuplicates(["id"]).join(own, "id")
+    named = stored(named.join(known, "id"), "named")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    left = named.where("outside").select("bucket", part.alias("part"), F.col("id").alias("a"), F.col("n").alias("n_first"), F.col("label").alias("la"), F.col("sketch").alias("sa"), F.col("own").alias("oa"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    right = named.where("id != first").select("bucket", every.alias("part"), F.col("id").alias("b"), "n", F.col("label").alias("lb"), F.col("outside").alias("ob"), F.col("sketch").alias("sb"), F.col("own").alias("bb"))
+    # a pair counts in the first bucket that it shares
+    here = F.get(F.array_intersect("oa", "bb"), F.lit(0)) == left["bucket"]
+    able = (left["bucket"] == right["bucket"]) & (left["part"] == right["part"]) & F.expr("la != lb AND (NOT ob OR a < b)") & F.expr(FITS) & (_agreeing("sa", "sb") >= math.floor(REGISTERS * LEAST_AGREEING)) & here
     rest = left.join(right, able).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return links.union(verified(rest, texts))
 
