@@ -111,9 +111,12 @@ def next_label(label: Column | str) -> Column:
 
 
 def letter_suffix(n: Column) -> Column:
-    """a, b, ..., z, aa, ab, ... for 1, 2, ...; two letters at most."""
-    one = F.char((n - 1) % 26 + 97)
-    return F.when(n <= 26, one).otherwise(F.concat(F.char(F.floor((n - 27) / 26) % 26 + 97), one))
+    """a, b, ..., z, aa, ab, ..., zz, aaa, ... for 1, 2, ...; as many letters as the number needs (a long needs 14 at most)."""
+    n, letters = n.cast("long"), []
+    for k in range(13, -1, -1):
+        least = sum(26**j for j in range(k + 1))  # the first number of k + 1 letters
+        letters.append(F.when(n >= least, F.char(F.call_function("div", n - least, F.lit(26**k)) % 26 + 97)).otherwise(""))
+    return F.concat(*letters)
 
 
 def slugify(text: Column | str) -> Column:
