@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..llm.common import stored
+
 #: A session goes on over pauses of up to twenty minutes.
 PAUSE = 20 * 60
 
@@ -54,15 +56,16 @@ def later_touching(rows: DataFrame, item: str, order: Column) -> DataFrame:
     return rows.withColumn("n_later", F.count("*").over(later))
 
 
-def fast_forward(changes: DataFrame, parents_of: DataFrame, heads: DataFrame, hops: int = 64) -> DataFrame:
+def fast_forward(changes: DataFrame, parents_of: DataFrame, heads: DataFrame) -> DataFrame:
     """Whether the local head is among the ancestors of the incoming head, by joining parents level by level.
 
-    changes: id; parents_of: id, parent; heads: doc, local, incoming. hops bounds the rounds.
+    changes: id; parents_of: id, parent; heads: doc, local, incoming. Rounds go on until no
+    ancestor is new; what a round finds is written to the shared folder.
     """
-    frontier, found = heads.select("doc", F.col("incoming").alias("id")), None
-    for _ in range(hops):
-        found = frontier if found is None else found.unionByName(frontier)
-        frontier = frontier.join(parents_of, "id").select("doc", F.col("parent").alias("id")).where("id IS NOT NULL").distinct().join(found, ["doc", "id"], "left_anti")
-        if frontier.isEmpty():
-            break
+    frontier = stored(heads.select("doc", F.col("incoming").alias("id")).distinct(), "frontier")
+    found = frontier
+    while not frontier.isEmpty():
+        above = frontier.join(parents_of, "id").select("doc", F.col("parent").alias("id")).where("id IS NOT NULL").distinct()
+        frontier = stored(above.join(found, ["doc", "id"], "left_anti"), "frontier")
+        found = stored(found.unionByName(frontier), "ancestors")
     return heads.join(found.withColumnRenamed("id", "local").withColumn("fast", F.lit(True)), ["doc", "local"], "left").withColumn("fast", F.coalesce("fast", F.lit(False)))
