@@ -8,10 +8,14 @@ phrases wins. Parsing runs in blocks of BLOCK characters, each of which opens a
 phrase of its own, so whole texts of any length are parsed in lanes of equal
 length: an automaton with greedy restarts is one table step for each character.
 
-The model is fitted on a sample of bounded size: sample_docs documents a
-language on average and at most sample_chars characters a language, fewer with
-so many languages that max_table_bytes would be passed. Everything predicted
-uses the whole text.
+The model is fitted on a sample of bounded size: 2 * sample_docs documents a
+language are drawn on average; of each the first 4 * chars / sample_docs
+characters (200 at least) count, one after another until there are chars for the
+language. chars is sample_chars, or fewer with so many languages that
+max_table_bytes would be passed. The alphabet is that of all languages: the 62
+most frequent letters of the sample, any other letter being one symbol, so that
+languages of several scripts lose their rarer letters. Everything predicted uses
+the whole text.
 
 Defined results: null text, and text without a letter, give `und` with score 0;
 ties go to the language that sorts first; with no labelled row all is `und`;
