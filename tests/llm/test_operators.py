@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -76,6 +77,12 @@ def test_exact_dedup(docs, texts):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_exact_dedup_keeps_columns_of_any_name(spark):
+    docs = documents(spark, ["a b", "ab", None]).withColumns({c: F.lit(c) for c in ("own", "sha", "nth", "__id", "__sha", "__nth", "left_text")})
+    for keep in (exact_dedup.keep_first, near_dedup.keep_first, substring_dedup.without_repeats):
+        assert keep(docs).columns == docs.columns and keep(docs).count() in (2, 3)
+
+
 def test_exact_dedup_repeated_rows(spark):
     docs = documents(spark, ["a b", "ab", "c"]).unionByName(documents(spark, ["a b", "ab", "c"]))
     rows = exact_dedup.exact_dedup(docs).collect()
@@ -110,6 +117,31 @@ def test_language_id(spark):
     assert sum(got[i]["lang_pred"] == langs[i] for i in held) / len(held) > 0.95
 
 
+def brute_phrases(text, sample):
+    """Longest matches one after the other, a new one every BLOCK characters."""
+    n, at = 0, 0
+    while at < len(text):
+        end = min(len(text), (at // language_id.BLOCK + 1) * language_id.BLOCK)
+        k = at + 1
+        while k < end and text[at : k + 1] in sample:
+            k += 1
+        n, at = n + 1, k
+    return n
+
+
+def test_language_id_phrases_by_brute_force():
+    rng = random.Random(5)
+    samples = {x: "".join(rng.choice(letters) for _ in range(400)) for x, letters in (("x", "aabcd e"), ("y", "abccd e"))}
+    model = language_id.Model(samples)
+    texts = ["".join(rng.choice("abcd eü1") for _ in range(n)) for n in (1, 5, 511, 512, 513, 3000, 40_000)]
+    for t in texts:
+        codes = model.alphabet.codes(t)
+        rate, _ = model.rates([t])
+        for j, lang in enumerate(sorted(samples)):
+            own = "".join(map(chr, model.alphabet.codes(samples[lang])))
+            assert rate[0, j] == pytest.approx(brute_phrases("".join(map(chr, codes)), own) * model.bits[j] / len(codes))
+
+
 def test_suffix_automaton_phrases():
     model = language_id.Model({"x": "abcabd", "y": "zzzz"})
     codes = model.alphabet.codes("abdabc")
@@ -194,6 +226,40 @@ def test_quality_rules(spark, docs, texts):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def brute_quality(texts, good):
+    """Scores by counting hashed words and pairs of words."""
+    grams = []
+    for t in texts:
+        h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in WORD.findall(t or "")]
+        pairs = [xxhash.xxh64_intdigest(struct.pack("<Q", b), seed=xxhash.xxh64_intdigest(struct.pack("<Q", a), seed=42)) for a, b in zip(h, h[1:], strict=False)]
+        grams.append([x % quality_rules.BUCKETS for x in h + pairs])
+    raw, target = Counter(x for g in grams for x in g), Counter(x for i in good for x in grams[i])
+    n_raw, n_target, prior = sum(raw.values()), sum(target.values()), quality_rules.PRIOR
+
+    def ratio(x):
+        p = (raw[x] + 1) / (n_raw + quality_rules.BUCKETS)
+        return math.log((target[x] + prior * p) / (n_target + prior) / p)
+
+    return [sum(map(ratio, g)) / max(1, len(g)) for g in grams]
+
+
+def test_quality_score(spark, docs, texts):
+    labels = spark.createDataFrame([(5, 1, 0), (6, 1, 0), (9, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
+    got = by_id(quality_rules.quality(docs, labels))
+    assert [got[i]["score"] for i in range(len(texts))] == pytest.approx(brute_quality(texts, [5, 6, 9]), abs=1e-5)
+    assert len({r["score"] for r in got.values()}) > 5
+
+
+def test_quality_rejects_what_the_target_lacks(spark):
+    rng = random.Random(3)
+    good = "the of and a in that it was for on".split()
+    texts = [" ".join(rng.choice(good) + rng.choice(["", "", f"x{rng.randrange(40)}"]) for _ in range(200)) for _ in range(60)]
+    junk = [" ".join(w.upper() + "!!" for w in rng.choices(good, k=70) + [f"j{k}{rng.randrange(9)}" for k in range(30)]) for _ in range(6)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int")
+    got = by_id(quality_rules.quality(documents(spark, texts + junk), labels))
+    assert {i for i, r in got.items() if not r["base_failed"] and not r["kept"]} == set(range(60, 66))
+
+
 def test_quality_rules_when_hashes_clash(spark, docs, monkeypatch, texts):
     monkeypatch.setattr(quality_rules, "POSITION", 61)  # three bits of hash are left: different windows clash
     got = by_id(quality_rules.quality(docs.where("doc_id < 12"), None))
@@ -307,6 +373,9 @@ def test_license_expressions():
     assert value("MIT OR GPL-2.0-only") == ({"mit", "gpl"}, True) and value("MIT AND GPL-2.0-only") == ({"mit", "gpl"}, False)
     assert value("(MIT") == ({"mit"}, True) and value("") == (set(), False) and value("MIT OR") == ({"mit"}, True)
     assert license_scan.scan("mit license mit license")[1:4] == (2, 0, 2)
+    assert value("see the LICENSE file") == (set(), False) and value("TODO") == (set(), False) and value("LicenseRef-own AND EUPL-1.2") == ({"licenseref", "eupl"}, False)
+    assert license_scan.scan("SPDX-License-Identifier: see the LICENSE file")[5:] == ("", 0.0)
+    assert license_scan.scan("MIT License\nSPDX-License-Identifier: GPL-2.0-only")[5:] == ("gpl,mit", 0.5)
 
 
 @pytest.mark.parametrize("size", [2048, 64])

@@ -22,6 +22,13 @@ def narrow(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have."""
+    while stem in {c.lower() for c in df.columns}:
+        stem += "_"
+    return stem
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new folder name below the folder that the driver and all executors share."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

@@ -1,16 +1,18 @@
 """Exact dedup with an extendible-hash index on shared files.
 
 Each scan task normalises its texts and merges equal ones batch by batch. What
-is left goes to owner tasks, each of which owns ranges of the key (the first 64
-bits of SHA-256). An owner inserts into an extendible hash table: an overfull
+is left goes to owner tasks, each of which owns one range of the key (the first
+64 bits of SHA-256). An owner inserts into an extendible hash table: an overfull
 bucket is split on its next key bit and the directory doubles when the bucket
 was as deep as the directory. Texts under the same key are chained, and an
 entry is only merged with one whose bytes are the same. The buckets are written
-as Parquet to the shared folder; every document then looks up its bucket entry.
+as Parquet to the shared folder. Every document then finds its range's directory
+(the depths of the range's buckets), with it its bucket, and there its entry, by
+the whole 256 bits of its digest; texts are not shuffled a second time.
 
 Defined results: null text counts as empty; rows that repeat a doc_id and text
-share one decision; a null doc_id sorts after all others; an empty table gives
-no rows; other columns of the input are ignored.
+share one decision; a null doc_id sorts after all others; long texts count whole;
+an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, SPACE_BYTES, narrow, shuffle_width, stored
+from .common import SPACE, SPACE_BYTES, narrow, shuffle_width, stored, unused
 
 PARTIAL = "key long, sha binary, norm binary, best_len long, best_id long, n long"
 ENTRY = "range long, bucket long, depth int, key long, chain int, sha binary, keep_id long, group_size long"
@@ -144,14 +146,14 @@ def _owner(range_bits: int, capacity: int):
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         shas = [hashlib.sha256(t.translate(None, SPACE_BYTES)).digest() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shas, pa.binary())], names=["doc_id", "sha"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_signed(_key(s)) for s in shas], pa.int64()), pa.array(shas, pa.binary())], names=["doc_id", "key", "sha"])
 
 
-def build_index(docs: DataFrame, owner_bytes: int = 32 << 20, capacity: int = 512) -> DataFrame:
-    """The buckets of the index, in the shared folder: one row for each distinct normalised text.
+def build_index(docs: DataFrame, owner_bytes: int = 128 << 20, capacity: int = 512) -> tuple[DataFrame, int]:
+    """The buckets of the index, in the shared folder, one row for each distinct normalised text; and the bits of a key that name its range.
 
     owner_bytes bounds the text that a key range holds on average, and so the
-    memory of its owner, whatever the input's size.
+    memory of its owner, whatever the input's size; a range has a task of its own.
     """
     src = narrow(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.length("text").cast("long").alias("length"))
     total = narrow(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -159,17 +161,26 @@ def build_index(docs: DataFrame, owner_bytes: int = 32 << 20, capacity: int = 51
     bits = max(1, math.ceil(math.log2(owners)))
     entries = (
         src.mapInArrow(_partials, PARTIAL)
-        .repartition(1 << bits, F.shiftrightunsigned("key", 64 - bits))
+        .repartitionById(1 << bits, _range("key", bits).cast("int"))
         .mapInArrow(_owner(bits, capacity), ENTRY)
     )
-    return stored(entries, "exact-index")
+    return stored(entries, "exact-index"), bits
+
+
+def _range(key: str, bits: int) -> Column:
+    return F.shiftrightunsigned(key, 64 - bits)
 
 
 def exact_dedup(docs: DataFrame, **sizes: int) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
-    index = build_index(docs, **sizes).select("sha", "keep_id", "group_size")
-    digests = narrow(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_digests, "doc_id long, sha binary")
-    return digests.join(index, "sha").select(
+    index, bits = build_index(docs, **sizes)
+    slots = index.select("range", "bucket", "depth").distinct()
+    directory = slots.groupBy("range").agg(F.collect_list(F.struct("bucket", "depth")).alias("slots"))
+    digests = narrow(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_digests, "doc_id long, key long, sha binary")
+    found = F.filter("slots", lambda s: s["bucket"] == F.col("key").bitwiseAND(F.pow(F.lit(2), s["depth"]).cast("long") - 1))
+    looked_up = digests.withColumn("range", _range("key", bits)).join(directory, "range").withColumn("bucket", F.get(found, F.lit(0))["bucket"])
+    entries = index.select("range", "bucket", "sha", "keep_id", "group_size")
+    return looked_up.join(entries, ["range", "bucket", "sha"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
 
@@ -177,11 +188,12 @@ def exact_dedup(docs: DataFrame, **sizes: int) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of docs for each normalised text, with the columns of docs; of rows that repeat its doc_id and text, one."""
     some_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    kept = exact_dedup(docs).where("kept").select(some_id.alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    own, sha, nth = (unused(docs, c) for c in ("own", "sha", "nth"))
+    kept = exact_dedup(docs).where("kept").select(some_id.alias(own), F.col("text_sha256").alias(sha)).distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("__id", some_id).withColumn("__sha", F.sha2(F.translate(text, SPACE, "").cast("binary"), 256))
-    alike = Window.partitionBy("__id", "__sha").orderBy(F.length(text).desc(), F.xxhash64("text"))
-    found = rows.join(kept, ["__id", "__sha"], "left_semi").withColumn("__nth", F.row_number().over(alike)).where("__nth = 1")
+    rows = docs.withColumn(own, some_id).withColumn(sha, F.sha2(F.translate(text, SPACE, "").cast("binary"), 256))
+    alike = Window.partitionBy(own, sha).orderBy(F.length(text).desc(), F.xxhash64("text"))
+    found = rows.join(kept, [own, sha], "left_semi").withColumn(nth, F.row_number().over(alike)).where(F.col(nth) == 1)
     return found.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

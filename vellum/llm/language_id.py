@@ -87,21 +87,18 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 def step_table(go: list[dict[int, int]], size: int) -> np.ndarray:
-    """Where each state goes on each character, as 2 * row offset + 1 if a phrase ended there.
+    """Where each state goes on each character, as 4 * row offset + the number of phrases that end there.
 
-    A character that cannot be matched at the root is a phrase by itself.
+    A character that cannot be matched at the root is a phrase by itself, and ends the one before it.
     """
-    root = np.zeros(size, np.int32)
-    root[:] = 1
+    root = np.full(size, 2, np.int32)
     for c, q in go[0].items():
-        root[c] = 2 * q * size + 1
+        root[c] = 4 * q * size + 1
     table = np.tile(root, (len(go), 1))
     for s, moves in enumerate(go):
         for c, q in moves.items():
-            table[s, c] = 2 * q * size
-    for c in range(size):  # at the root nothing is open, so no phrase ends before a match
-        if c in go[0]:
-            table[0, c] = 2 * go[0][c] * size
+            table[s, c] = 4 * q * size
+    table[0] = root - 1  # at the root nothing is open that could end
     return table.ravel()
 
 
@@ -111,10 +108,10 @@ def parse_counts(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, tab
     state, count = np.zeros(n, np.int32), np.zeros(n, np.int32)
     alive = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if n else 0) + 1), side="right")
     for k, live in enumerate(alive):
-        at = table.take((state[:live] >> 1) + codes[starts[:live] + k])
+        at = table.take((state[:live] >> 2) + codes[starts[:live] + k])
         state[:live] = at
-        count[:live] += at & 1
-    return count + 1  # the phrase still open at the end
+        count[:live] += at & 3
+    return count + (state >= 4)  # a phrase may still be open at the end
 
 
 class Model:

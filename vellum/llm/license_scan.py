@@ -6,14 +6,18 @@ automaton holds the notice phrases and the words of the identifier tag. After a
 tag the expression that follows in the text as written is parsed: identifiers
 joined by AND, OR and WITH (WITH binds closest, then AND, then OR) and brackets;
 it is evaluated to the labels it names and to whether it lets a reuser choose or
-be bound to permissive terms only.
+be bound to permissive terms only. Only identifiers that are known (FAMILIES and
+SINGLE below, and references to a licence of the text's own) become labels; other
+words after a tag are none.
 
-score is 0 where nothing was found; else the share of the found places (tags
-count as places) whose terms are permissive, mapped to 0.5..1.
+score is the share of the found places (notices, and tags whose expression names
+a known identifier) whose terms are permissive; 0 where nothing was found.
 
 Defined results: null text counts as empty; texts without words give zeros and
 empty label lists; an expression that does not parse adds the identifiers before
-the fault; an empty table gives no rows; other columns are ignored.
+the fault; each row is scanned by itself, so repeated rows and null doc_ids give
+rows like any other; long texts are scanned whole; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +53,11 @@ NOTICES = {
     "all rights reserved": "reserved",
 }
 TAG = "spdx license identifier"
+#: Families of licence identifiers, and identifiers that stand alone.
+FAMILIES = ["agpl", "lgpl", "gpl", "apache", "mpl", "cc0", "epl", "eupl", "bsd", "cddl", "artistic", "afl", "osl", "ofl", "bsl", "ecl", "upl", "psf", "python"]
+SINGLE = ["mit", "mit-0", "0bsd", "isc", "zlib", "unlicense", "wtfpl", "x11", "ncsa", "postgresql", "libpng", "openssl", "ms-pl", "ms-rl", "vim", "beerware", "blueoak-1.0.0"]
+FAMILY = re.compile(rf"({'|'.join(FAMILIES)})(-[0-9].*|v?[0-9].*)?")
+CC_BY = re.compile(r"(cc-by(?:-(?:nc|sa|nd))*)(-[0-9].*)?")
 PERMISSIVE = {"mit", "apache", "bsd", "isc", "cc-by", "cc0", "mit-0", "0bsd", "unlicense", "zlib"}
 TAG_IN_TEXT = re.compile(r"(?i)spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)")
 TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
@@ -66,15 +75,14 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
-def label_of(identifier: str) -> str:
-    """The label of an identifier: its family where that has one, else itself in lower case."""
-    name = identifier.lower()
-    for family in ("agpl", "lgpl", "gpl", "apache", "mpl", "cc0", "epl"):
-        if re.match(rf"{family}(-|$)", name):
-            return family
-    if name.startswith("cc-by"):
-        return re.match(r"cc-by(?:-(?:nc|sa|nd))*", name)[0]
-    return "bsd" if name.startswith("bsd-") else name
+def label_of(identifier: str) -> str | None:
+    """The label of a known identifier: its family where that has one, else itself in lower case."""
+    name = identifier.lower().rstrip(".")
+    if found := FAMILY.fullmatch(name) or CC_BY.fullmatch(name):
+        return found[1]
+    if name.startswith("licenseref-"):
+        return "licenseref"
+    return name if name in SINGLE else None
 
 
 def parse(expression: str) -> list[str]:
@@ -122,7 +130,7 @@ def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
                 stack.append((left[0] | right[0], (left[1] or right[1]) if token == "or" else (left[1] and right[1])))
         else:
             label = label_of(token)
-            stack.append(({label}, label in PERMISSIVE))
+            stack.append(({label} if label else set(), label in PERMISSIVE))
     if not stack:
         return set(), False
     return set().union(*(s[0] for s in stack)), all(s[1] for s in stack)
@@ -153,7 +161,7 @@ def scan(text: str) -> tuple:
                 labels |= found
                 places += 1
                 good += permissive
-    score = 0.5 + 0.5 * good / places if places else 0.0
+    score = good / places if places else 0.0
     first, last = (min(base_at), max(base_at)) if base_at else (None, None)
     return len(words), len(base_at), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score
 

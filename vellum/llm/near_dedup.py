@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .bpe import Recent
-from .common import narrow, stored
+from .common import narrow, stored, unused
 from .components import components
 
 SHINGLE = 5
@@ -254,6 +254,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id names its class, with the columns of docs."""
-    kept = near_classes(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    found = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    own = unused(docs, "own")
+    kept = near_classes(docs).where("kept").select(F.col("doc_id").alias(own)).distinct()
+    found = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_semi")
     return found.select(*(F.col(f"`{c}`") for c in docs.columns))

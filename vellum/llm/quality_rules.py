@@ -1,14 +1,12 @@
 """Quality rules: base counts, and a hashed n-gram log-likelihood ratio between trusted target and raw corpus.
 
-The n-grams are the last three characters of each word and, for each two words
-that follow one another, the pair of their last characters: few enough kinds
-that a document's own words don't weigh in its score, whatever the corpus' size.
-They are hashed into BUCKETS buckets. The raw multinomial counts all documents;
-the target's counts documents that `labels` marks with quality 1, a sample of at
-most `trusted` ids drawn by hash (the bound of what is broadcast), and is
-smoothed towards the raw one by PRIOR counts. A document's score is the mean
-over its n-grams of log(p_target / p_raw); it is kept if no base rule fails it
-and the score is at least `threshold`, in nats an n-gram.
+The n-grams are all words of the text and all pairs of words that follow one
+another. They are hashed into BUCKETS buckets. The raw multinomial counts all
+documents; the target's counts documents that `labels` marks with quality 1, a
+sample of at most `trusted` ids drawn by hash (the bound of what is broadcast),
+and is smoothed towards the raw one by PRIOR counts. A document's score is the
+mean over its n-grams of log(p_target / p_raw); it is kept if no base rule fails
+it and the score is at least `threshold`, in nats an n-gram.
 
 Only DataFrame functions: a document's windows of three words are compared
 within its row. A window's key holds 40 bits of its hash and the position of its
@@ -18,7 +16,9 @@ share a hash, or with 2^24 words or more, goes by the words alone.
 
 Defined results: null text has no words and fails; without labels, or without a
 trusted document, the ratio is 0 for every n-gram and only the base rules
-decide; an empty table gives no rows; clashing extra columns stay with the input.
+decide; rows that repeat a doc_id are each measured by their own text; a null
+doc_id is measured like any other; long texts are read whole; an empty table
+gives no rows; clashing extra columns stay with the input.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ BUCKETS = 1 << 12
 PRIOR = 4096.0
 POSITION = 24
 TRUSTED = 16_000
-THRESHOLD = -0.5
+THRESHOLD = -0.15
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
 
 
@@ -47,8 +47,13 @@ def _bucket(x: Column) -> Column:
     return x.bitwiseAND(F.lit(BUCKETS - 1))
 
 
-def _endings(words: Column | str, n: int) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(F.substring(w, -n, n)))
+def _hashes(words: Column | str) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _pairs(hashes: Column) -> Column:
+    """Hash of each two words that follow one another."""
+    return F.transform(F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0))), lambda x, i: F.xxhash64(F.get(hashes, i), x))
 
 
 def ratios(docs: DataFrame, labels: DataFrame | None, trusted: int = TRUSTED) -> list[float]:
@@ -59,9 +64,8 @@ def ratios(docs: DataFrame, labels: DataFrame | None, trusted: int = TRUSTED) ->
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("good_id")).distinct()
     good = good.orderBy(F.xxhash64("good_id"), "good_id").limit(trusted)
     flagged = words.join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left")
-    hashed = flagged.select(F.col("good_id").isNotNull().cast("long").alias("t"), _endings("w", 3).alias("e"), _endings("w", 1).alias("l"))
-    pairs = F.transform(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))), lambda x, i: _bucket(F.xxhash64(F.get("l", i), x)))
-    grams = hashed.select("t", F.explode(F.concat(F.transform("e", _bucket), pairs)).alias("bucket"))
+    hashed = flagged.select(F.col("good_id").isNotNull().cast("long").alias("t"), _hashes("w").alias("h"))
+    grams = hashed.select("t", F.explode(F.concat("h", _pairs(F.col("h")))).alias("x")).select("t", _bucket(F.col("x")).alias("bucket"))
     counts = {r["bucket"]: (r["raw"], r["good"]) for r in grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("good")).collect()}
     n_raw, n_good = (sum(c[k] for c in counts.values()) for k in (0, 1))
     if not n_good:
@@ -76,18 +80,21 @@ def ratios(docs: DataFrame, labels: DataFrame | None, trusted: int = TRUSTED) ->
 
 def measured(docs: DataFrame, ratio: list[float], threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
     """docs with the measures and verdict of each row, all named with the prefix."""
-    at = {k: f"{prefix}{k}" for k in ["t", "w", "h", "e", "l", "sorted", "twins", "same", "total", *MEASURES]}
+    at = {k: f"{prefix}{k}" for k in ["t", "w", "h", "pairs", "sorted", "twins", "same", "total", *MEASURES]}
     c = {k: F.col(f"`{v}`") for k, v in at.items()}
     model = F.from_json(F.lit(json.dumps(ratio)), "array<double>")
     df = docs.withColumn(at["t"], F.coalesce(F.col("text"), F.lit("")))
     df = df.withColumn(at["w"], _words(c["t"]))
-    df = df.withColumn(at["h"], F.transform(c["w"], lambda w: F.xxhash64(w))).withColumn(at["e"], _endings(c["w"], 3)).withColumn(at["l"], _endings(c["w"], 1))
+    df = df.withColumn(at["h"], _hashes(c["w"]))
+    df = df.withColumn(at["pairs"], _pairs(c["h"]))
     n = F.size(c["w"])
-    starts = F.slice(c["h"], 1, F.greatest(n - 2, F.lit(0)))
     mask = (1 << POSITION) - 1
-    keyed = F.transform(starts, lambda x, i: F.xxhash64(x, F.get(c["h"], i + 1), F.get(c["h"], i + 2)).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long")))
-    gram = F.transform(c["e"], lambda x, i: F.get(model, _bucket(x).cast("int")) + F.when(i > 0, F.get(model, _bucket(F.xxhash64(F.get(c["l"], i - 1), F.get(c["l"], i))).cast("int"))).otherwise(0.0))
-    df = df.withColumn(at["sorted"], F.sort_array(keyed)).withColumn(at["total"], F.aggregate(gram, F.lit(0.0), lambda s, x: s + x))
+    keyed = F.transform(F.slice(c["h"], 3, F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(F.get(c["pairs"], i), x).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long")))
+
+    def ratio_of(grams: Column, start: Column) -> Column:
+        return F.aggregate(grams, start, lambda s, x: s + F.get(model, _bucket(x).cast("int")))
+
+    df = df.withColumn(at["sorted"], F.sort_array(keyed)).withColumn(at["total"], ratio_of(c["pairs"], ratio_of(c["h"], F.lit(0.0))))
 
     def hash_of(x: Column) -> Column:
         return F.shiftright(x, POSITION)
@@ -121,7 +128,7 @@ def measured(docs: DataFrame, ratio: list[float], threshold: float = THRESHOLD,
     grams = F.greatest(2 * c["n_words"] - 1, F.lit(1))
     df = df.withColumn(at["base_failed"], (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])).withColumn(at["score"], c["total"] / grams)
     df = df.withColumn(at["kept"], ~c["base_failed"] & (c["score"] >= threshold))
-    return df.drop(*(at[k] for k in ("t", "w", "h", "e", "l", "sorted", "twins", "same", "total")))
+    return df.drop(*(at[k] for k in ("t", "w", "h", "pairs", "sorted", "twins", "same", "total")))
 
 
 def quality(docs: DataFrame, labels: DataFrame | None, **model: int) -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import narrow, shuffle_width, stored
+from .common import narrow, shuffle_width, stored, unused
 from .suffix_array import common_prefixes, suffix_array
 
 WINDOW, GRAM = 200, 48
@@ -396,10 +396,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     n_chars, where docs has it, is counted anew.
     """
     changed = stored(changed_texts(docs).select("sha", "text"), "changed")
+    own, left = unused(docs, "sha"), unused(docs, "left_text")
     sha = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    joined = docs.withColumn("__sha", sha).join(changed.select(F.col("sha").alias("__sha"), F.col("text").alias("__kept")), "__sha", "left")
-    cut = joined.withColumn("text", F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.col("__kept")))
+    joined = docs.withColumn(own, sha).join(changed.select(F.col("sha").alias(own), F.col("text").alias(left)), own, "left")
+    cut = joined.withColumn("text", F.coalesce(F.col(left), F.col("text")))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        cut = cut.withColumn("n_chars", F.when(F.col(left).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return cut.select(*(F.col(f"`{c}`") for c in docs.columns))
 
