@@ -37,11 +37,20 @@ def _fold(text: str, bare: bool) -> str:
     kept = (c for c in unicodedata.normalize("NFC", text) if c not in INVISIBLE and unicodedata.category(c)[0] not in "PS")
     out = "".join(kept)
     if bare:
-        marks = (c for c in unicodedata.normalize("NFD", out) if unicodedata.category(c)[0] != "M")
-        out = unicodedata.normalize("NFC", "".join(marks))
+        out = _bare(out)
     return out.lower().replace("ς", "σ")
 
 
+#: Languages (fixed values) whose v and j are u and i, and whose points don't count.
+LATIN, BARE = ("la", "lat"), ("he", "heb", "ar", "ara")
+UV = str.maketrans("vj", "ui")
+
+
+def _bare(text: str) -> str:
+    marks = (c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c)[0] != "M")
+    return unicodedata.normalize("NFC", "".join(marks))
+
+
 def _vectorised(function):  # noqa: ANN001, ANN202
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(function, na_action="ignore")
@@ -50,9 +59,17 @@ def _vectorised(function):  # noqa: ANN001, ANN202
 
 
 def fold(text: Column | str, lang: Column | str | None = None) -> Column:
-    """Fold of any text: composed first, which Spark has no function for."""
-    out = _vectorised(lambda t: _fold(t, False))(_col(text))
-    return out if lang is None else F.when(language(lang).isin("la", "lat"), F.translate(out, "vj", "ui")).otherwise(out)
+    """Fold of any text by the defaults of its language: composed first, which Spark has no function for."""
+
+    def run(texts: pd.Series, langs: pd.Series) -> pd.Series:
+        def one(t: str, lang: str | None) -> str:
+            primary = (lang or "").lower().split("-")[0]
+            out = _fold(t, primary in BARE)
+            return out.translate(UV) if primary in LATIN else out
+
+        return pd.Series([None if t is None else one(t, x) for t, x in zip(texts, langs, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, StringType())(_col(text), F.lit(None).cast("string") if lang is None else _col(lang))
 
 
 def fold_bare(text: Column | str) -> Column:
@@ -61,21 +78,75 @@ def fold_bare(text: Column | str) -> Column:
 
 
 def strip_diacritics(text: Column | str) -> Column:
-    def strip(t: str) -> str:
-        return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c)[0] != "M"))
+    return _vectorised(_bare)(_col(text))
+
 
-    return _vectorised(strip)(_col(text))
+def composed(text: Column | str) -> Column:
+    """Normal form C."""
+    return _vectorised(lambda t: unicodedata.normalize("NFC", t))(_col(text))
+
+
+#: Sentence punctuation that is trimmed at the edges of a phrase; marks of elision are not among it.
+EDGE = r",.;:!?\u00b7\u0387\u037e\u2026\-\u2013\u2014()\[\]\u00ab\u00bb\u201c\u201d\""
+#: The characters that mark an elision.
+ELISION = "\u02bc\u2019\u1fbd'\u2032"
 
 
 def trim_punctuation(text: Column | str) -> Column:
-    """Punctuation and symbols at either end go; a text of nothing else stays."""
-    out = F.regexp_replace(_col(text), r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", "")
+    """Sentence punctuation at either end goes, and white space with it; a text of nothing else stays."""
+    out = F.regexp_replace(F.regexp_replace(_col(text), f"^[{EDGE}]+|[{EDGE}]+$", ""), r"(?U)^\s+|\s+$", "")
+    return F.when(out == "", _col(text)).otherwise(out)
+
+
+def trim_punctuation_at(text: Column | str, edge: str) -> Column:
+    """trim_punctuation at the start or the end only."""
+    marks, space = (f"^[{EDGE}]+", r"(?U)^\s+") if edge == "start" else (f"[{EDGE}]+$", r"(?U)\s+$")
+    out = F.regexp_replace(F.regexp_replace(_col(text), marks, ""), space, "")
     return F.when(out == "", _col(text)).otherwise(out)
 
 
 def is_all_caps(text: Column | str) -> Column:
-    t = _col(text)
-    return (F.upper(t) == t) & (F.lower(t) != t)
+    letters = F.regexp_replace(_col(text), r"\P{L}", "")
+    return (F.upper(letters) == letters) & (F.lower(letters) != letters)
+
+
+def greek_lower(text: Column | str) -> Column:
+    """Lower case with the final sigma where a word ends."""
+    return F.regexp_replace(F.translate(F.lower(_col(text)), "ς", "σ"), r"σ(?=\P{L}|$)", "ς")
+
+
+def _agreement(word: str, lang: str | None) -> str:
+    marks = unicodedata.normalize("NFC", unicodedata.normalize("NFD", word).replace("\u0300", "\u0301"))
+    marks = "".join("\u2019" if c in ELISION else c for c in marks if c not in INVISIBLE)
+    primary = (lang or "").lower().split("-")[0]
+    if primary in BARE:
+        marks = _bare(marks)
+    out = " ".join(marks.lower().replace("ς", "σ").split())
+    return out.translate(UV) if primary in LATIN else out
+
+
+def agreement(word: Column | str, lang: Column | str | None = None) -> Column:
+    """The key two words agree by: case, grave for acute, kinds of elision mark don't count; punctuation and accents do."""
+
+    def run(words: pd.Series, langs: pd.Series) -> pd.Series:
+        return pd.Series([None if w is None else _agreement(w, x) for w, x in zip(words, langs, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, StringType())(_col(word), F.lit(None).cast("string") if lang is None else _col(lang))
+
+
+def _archetype(text: str) -> str:
+    letters = unicodedata.normalize("NFD", text).replace("\u0345", "ι")
+    out = "".join(c for c in letters if unicodedata.category(c)[0] == "L" and c != "\u02bc").upper()
+    return out.replace("ς", "Σ").replace("V", "U").replace("J", "I")
+
+
+def archetype_letters(text: Column | str) -> Column:
+    """Capital letters alone, an iota subscript as an iota, v as u and j as i."""
+    return _vectorised(_archetype)(_col(text))
+
+
+def differ_only_in_fold(a: Column, b: Column, fold_a: Column, fold_b: Column) -> Column:
+    return (a != b) & (fold_a == fold_b)
 
 
 def similarity(a: Column | str, b: Column | str) -> Column:
@@ -119,6 +190,13 @@ def letter_suffix(n: Column) -> Column:
     return F.concat(*letters)
 
 
+def unbracketed(text: Column | str) -> Column:
+    """Without the one pair of brackets that encloses all of it; brackets that close before the end stay."""
+    t = _col(text)
+    inner = F.regexp_extract(t, r"^\[([^\[\]]*)\]$|^\(([^()]*)\)$", 0)
+    return F.when(inner != "", F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
+
+
 def slugify(text: Column | str) -> Column:
     out = F.regexp_replace(F.lower(strip_diacritics(text)), "[^a-z0-9]+", "-")
     return F.regexp_replace(out, "^-+|-+$", "")

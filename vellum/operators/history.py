@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..llm.common import stored
+from ..plans.keeping import kept
 
 #: A session goes on over pauses of up to twenty minutes.
 PAUSE = 20 * 60
@@ -60,12 +60,12 @@ def fast_forward(changes: DataFrame, parents_of: DataFrame, heads: DataFrame) ->
     """Whether the local head is among the ancestors of the incoming head, by joining parents level by level.
 
     changes: id; parents_of: id, parent; heads: doc, local, incoming. Rounds go on until no
-    ancestor is new; what a round finds is written to the shared folder.
+    ancestor is new; what a round finds is checkpointed.
     """
-    frontier = stored(heads.select("doc", F.col("incoming").alias("id")).distinct(), "frontier")
+    frontier = kept(heads.select("doc", F.col("incoming").alias("id")).distinct())
     found = frontier
     while not frontier.isEmpty():
         above = frontier.join(parents_of, "id").select("doc", F.col("parent").alias("id")).where("id IS NOT NULL").distinct()
-        frontier = stored(above.join(found, ["doc", "id"], "left_anti"), "frontier")
-        found = stored(found.unionByName(frontier), "ancestors")
+        frontier = kept(above.join(found, ["doc", "id"], "left_anti"))
+        found = kept(found.unionByName(frontier))
     return heads.join(found.withColumnRenamed("id", "local").withColumn("fast", F.lit(True)), ["doc", "local"], "left").withColumn("fast", F.coalesce("fast", F.lit(False)))

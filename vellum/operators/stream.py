@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import fold_plain
+
 
 def ordered(keys: Sequence[str], order: Sequence[str]):  # noqa: ANN201
     return Window.partitionBy(*keys).orderBy(*order)
@@ -108,6 +110,19 @@ def phrase_hits(tokens: DataFrame, phrase: Sequence[str], keys: Sequence[str], o
     return ahead.where(match).drop(*names)
 
 
+def search(docs: DataFrame, phrase: Sequence[str], doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc, line, pos of the places where folded words of a document are those of the phrase, over line ends too.
+
+    A document is folded once as a whole; only one that holds the phrase's words
+    one after the other is taken apart into words.
+    """
+    run = r"(?U)(^|\s)" + r"\s+".join(phrase) + r"(\s|$)"
+    # punctuation between spaces leaves an empty word, which parts the words beside it
+    whole = docs.where(F.concat(F.lit(" "), fold_plain(F.coalesce(F.col(text), F.lit("")))).rlike(run))
+    words = from_text(whole, doc, text).withColumn("__w", fold_plain("form"))
+    return phrase_hits(words, phrase, [doc], ["line", "pos"], "__w").drop("__w")
+
+
 def band_links(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, reach: int, *, cell: str = "__cell") -> DataFrame:
     """Pairs of rows with equal keys whose positions are at most reach apart: an equi-join on cells, not a range scan.
 

@@ -49,10 +49,10 @@ def text_round_trip(spark, sf_dir):  # noqa: ANN001, ANN201
     return stream.to_text(tokens(spark, sf_dir))
 
 
-@query(f"WITH {TOKENS} SELECT fold, count(*) AS n, count(DISTINCT form) AS forms FROM (SELECT form, lower(regexp_replace(form, '[\\pP\\pS]', '', 'g')) AS fold FROM tokens) GROUP BY fold")
+@query(f"WITH {TOKENS} SELECT fold, count(*)::BIGINT AS n, count(DISTINCT form) AS forms FROM (SELECT form, lower(regexp_replace(form, '[\\pP\\pS]', '', 'g')) AS fold FROM tokens) GROUP BY fold")
 def fold_words(spark, sf_dir):  # noqa: ANN001, ANN201
-    folded = tokens(spark, sf_dir).select("form", fx.fold_plain("form").alias("fold"))
-    return folded.groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("form").alias("forms"))
+    forms = tokens(spark, sf_dir).groupBy("form").agg(F.count("*").alias("n"))
+    return forms.groupBy(fx.fold_plain("form").alias("fold")).agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
 
 
 @query(f"WITH {TOKENS} SELECT bare, sum(n)::BIGINT AS n FROM (SELECT strip_accents(form) AS bare, n FROM (SELECT form, count(*) AS n FROM tokens GROUP BY form)) GROUP BY bare")
@@ -61,9 +61,13 @@ def strip_diacritics(spark, sf_dir):  # noqa: ANN001, ANN201
     return forms.select(fx.strip_diacritics("form").alias("bare"), "n").groupBy("bare").agg(F.sum("n").alias("n"))
 
 
-@query(f"WITH {TOKENS} SELECT trimmed, count(*) AS n FROM (SELECT CASE WHEN t = '' THEN form ELSE t END AS trimmed FROM (SELECT form, regexp_replace(form, '^[\\pP\\pS]+|[\\pP\\pS]+$', '', 'g') AS t FROM tokens)) GROUP BY trimmed")
+@query(f"""WITH {TOKENS} SELECT CASE WHEN t = '' THEN form ELSE t END AS trimmed, sum(n)::BIGINT AS n FROM (
+SELECT form, n, trim(regexp_replace(form, '^[-,.;:!?·…–—()«»“”"\\[\\]]+|[-,.;:!?·…–—()«»“”"\\[\\]]+$', '', 'g')) AS t FROM (SELECT form || CASE WHEN length(form) % 5 = 0 THEN '’.' ELSE '' END AS form, count(*) AS n FROM tokens GROUP BY 1)) GROUP BY 1""")
 def trim_punctuation(spark, sf_dir):  # noqa: ANN001, ANN201
-    return tokens(spark, sf_dir).select(fx.trim_punctuation("form").alias("trimmed")).groupBy("trimmed").agg(F.count("*").alias("n"))
+    """Every fifth length of word is elided here: its mark stays."""
+    elided = F.concat("form", F.when(F.length("form") % 5 == 0, "’.").otherwise(""))
+    forms = tokens(spark, sf_dir).groupBy(elided.alias("form")).agg(F.count("*").alias("n"))
+    return forms.groupBy(fx.trim_punctuation("form").alias("trimmed")).agg(F.sum("n").alias("n"))
 
 
 @query("""
@@ -299,12 +303,13 @@ def dictionary_fallback(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 @query("""
-WITH l AS (SELECT p_partkey, p_brand || ' ' || p_size AS label FROM part),
-n AS (SELECT *, count(*) OVER (PARTITION BY label) AS c, row_number() OVER (PARTITION BY label ORDER BY p_partkey) AS r FROM l)
-SELECT p_partkey, CASE WHEN c = 1 THEN label WHEN r <= 26 THEN label || chr((96 + r)::INT) ELSE label || chr((97 + ((r - 27) // 26) % 26)::INT) || chr((97 + (r - 1) % 26)::INT) END AS shown FROM n""")
+WITH RECURSIVE l AS (SELECT l_orderkey, l_linenumber, l_returnflag || ' ' || l_linenumber AS label FROM lineitem),
+n AS (SELECT *, count(*) OVER (PARTITION BY label) AS c, row_number() OVER (PARTITION BY label ORDER BY l_orderkey) - 1 AS r FROM l),
+s AS (SELECT k, k AS rest, '' AS t FROM range((SELECT max(c) FROM n)) x(k) UNION ALL SELECT k, rest // 26 - 1, chr((97 + rest % 26)::INT) || t FROM s WHERE rest >= 0)
+SELECT l_orderkey, l_linenumber, CASE WHEN c = 1 THEN label ELSE label || t END AS shown FROM n JOIN s ON s.k = n.r AND s.rest < 0""")
 def disambiguate_labels(spark, sf_dir):  # noqa: ANN001, ANN201
-    labels = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_brand", F.col("p_size").cast("string")).alias("label"))
-    return registry.disambiguated(labels, "label", ["p_partkey"]).select("p_partkey", "shown")
+    labels = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(" ", "l_returnflag", F.col("l_linenumber").cast("string")).alias("label"))
+    return registry.disambiguated(labels, "label", ["l_orderkey"]).select("l_orderkey", "l_linenumber", "shown")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_orderkey || '.' || l_linenumber AS label, lpad(l_orderkey::VARCHAR, greatest(8, length(l_orderkey::VARCHAR))::INT, '0') || '.' || lpad(l_linenumber::VARCHAR, 8, '0') AS sort_key FROM lineitem")
@@ -340,14 +345,22 @@ def identifier_match(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 @query(f"""
-WITH {TOKENS}, t AS (SELECT lower(form) AS w, count(*) AS n FROM tokens WHERE regexp_matches(form, '^[A-Za-z]+$') GROUP BY 1 HAVING count(*) >= 20)
-SELECT a.w AS a, b.w AS b, round(1 - levenshtein(a.w, b.w) / greatest(length(a.w), length(b.w)), 6) AS likeness FROM t a JOIN t b ON left(a.w, 2) = left(b.w, 2) AND a.w < b.w
-WHERE 1 - levenshtein(a.w, b.w) / greatest(length(a.w), length(b.w)) >= 0.6""")
+WITH {TOKENS}, h AS (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS head FROM documents), b AS (SELECT head, min(doc_id) AS base_id FROM h GROUP BY head HAVING count(*) > 1),
+t AS (SELECT doc_id, line, pos, lower(form) AS w FROM tokens WHERE regexp_matches(form, '^[A-Za-z]+$')),
+p AS (SELECT DISTINCT least(x.w, y.w) AS a, greatest(x.w, y.w) AS b FROM h JOIN b ON h.head = b.head AND h.doc_id <> b.base_id JOIN t x ON x.doc_id = h.doc_id JOIN t y ON y.doc_id = b.base_id AND y.line = x.line AND y.pos = x.pos WHERE x.w <> y.w)
+SELECT a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS likeness FROM p WHERE 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.6""")
 def near_pairs(spark, sf_dir):  # noqa: ANN001, ANN201
-    kept = tokens(spark, sf_dir).where(F.col("form").rlike("^[A-Za-z]+$")).groupBy(F.lower("form").alias("w")).agg(F.count("*").alias("n")).where("n >= 20")
-    a, b = kept.select(F.col("w").alias("a"), F.substring("w", 1, 2).alias("k")), kept.select(F.col("w").alias("b"), F.substring("w", 1, 2).alias("k"))
-    likeness = fx.similarity("a", "b")
-    return a.join(b, "k").where("a < b").withColumn("likeness", likeness).where("likeness >= 0.6").select("a", "b", F.round("likeness", 6).alias("likeness"))
+    """Pairs of words (ASCII) that stand at one place in texts that begin alike and are near one another; each pair is compared once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.xxhash64(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))).alias("head"))
+    sets = docs.groupBy("head").agg(F.min("doc_id").alias("base_id"), F.count("*").alias("n")).where("n > 1")
+    members = docs.join(sets, "head").select("doc_id", "base_id")
+    words = tokens(spark, sf_dir).where(F.col("form").rlike("^[A-Za-z]+$")).select("doc_id", "line", "pos", F.lower("form").alias("w"))
+    own = words.join(members, "doc_id")
+    # words of one group meet by place; equal words of a place count once before they are compared with the base's
+    read = own.where("doc_id != base_id").select("base_id", "line", "pos", "w").distinct()
+    base = own.where("doc_id = base_id").select("base_id", "line", "pos", F.col("w").alias("x"))
+    pairs = read.join(base, ["base_id", "line", "pos"]).where("w != x").select(F.least("w", "x").alias("a"), F.greatest("w", "x").alias("b")).distinct()
+    return pairs.withColumn("likeness", fx.similarity("a", "b")).where("likeness >= 0.6").select("a", "b", F.round("likeness", 6).alias("likeness"))
 
 
 @query("""
@@ -381,8 +394,7 @@ WITH {TOKENS}, f AS (SELECT doc_id, line, pos, lower(regexp_replace(form, '[\\pP
 g AS (SELECT *, lead(w) OVER (PARTITION BY doc_id ORDER BY line, pos) AS w2 FROM f)
 SELECT doc_id, line, pos FROM g WHERE w = 'of' AND w2 = 'the'""")
 def search_hits(spark, sf_dir):  # noqa: ANN001, ANN201
-    folded = tokens(spark, sf_dir).withColumn("w", fx.fold_plain("form"))
-    return stream.phrase_hits(folded, ["of", "the"], ["doc_id"], ["line", "pos"], "w").select("doc_id", "line", "pos")
+    return stream.search(table(spark, sf_dir, "documents"), ["of", "the"]).select("doc_id", "line", "pos")
 
 
 @query("""
