@@ -32,6 +32,17 @@ def backlog(readings: DataFrame, reviewed: DataFrame) -> DataFrame:
     return readings.where("NOT is_base").select("grp", "site").distinct().join(reviewed, ["grp", "site"], "left_anti")
 
 
+def named(readings: DataFrame, grp: str, key: str, least: int = 3) -> DataFrame:
+    """Adds named: codd. where one reading has all witnesses, cett. for the reading that most have (least of them at least, the first by key of several), else the sigla."""
+    from pyspark.sql.window import Window
+
+    all_ = Window.partitionBy(grp)
+    rank = F.row_number().over(all_.orderBy(F.desc(F.size("texts")), key))
+    rows = readings.withColumn("__n", F.count("*").over(all_)).withColumn("__r", rank)
+    shown = F.when(F.col("__n") == 1, "codd.").when((F.col("__r") == 1) & (F.size("texts") >= least), "cett.").otherwise(F.array_join(F.array_sort("texts"), " "))
+    return rows.withColumn("named", shown).drop("__n", "__r")
+
+
 def drift(words: DataFrame, witness: DataFrame) -> DataFrame:
     """Words taken from a witness (word_id, form, token_ids) that reads otherwise there now (token_id, form), or no longer has them."""
     source = words.select("word_id", "form", F.posexplode("token_ids").alias("k", "token_id"))

@@ -2,8 +2,8 @@
 
 An edit is one of insert (items after an id, null: at the start), delete (ids),
 set (fields of an id; a null value removes the field), move (ids after an id),
-split (an id's form at a code point, the rest under new_id) and join (the
-opposite). A document's edits are folded in version order; documents are
+split (an id's form at a code point, the rest under new_id), join (the
+opposite) and replace (items in place of a run of ids). A document's edits are folded in version order; documents are
 independent, so they are dealt by doc_id, and a checkpoint cuts what is folded.
 """
 
@@ -34,8 +34,27 @@ def apply_edit(items: list[dict], edit: dict) -> dict:
     """Changes items in place and returns the edit that undoes it, as a list under `all` where it takes several."""
     kind = edit["t"]
     if kind == "all":
-        undo = [apply_edit(items, e) for e in edit["edits"]]
+        undo = []
+        try:
+            for e in edit["edits"]:
+                undo.append(apply_edit(items, e))
+        except (Edit, KeyError):
+            for e in undo[::-1]:
+                apply_edit(items, e)
+            raise
         return {"t": "all", "edits": undo[::-1]}
+    if kind == "replace":
+        first = _at(items, edit["ids"][0]) if edit["ids"] else 0
+        old = items[first : first + len(edit["ids"])]
+        new = [x["id"] for x in edit["items"]]
+        if not edit["ids"] or [x["id"] for x in old] != edit["ids"]:
+            raise Edit("what is replaced is no run")
+        if len(set(new)) < len(new) or ({x["id"] for x in items} - set(edit["ids"])) & set(new):
+            raise Edit("an id is there already")
+        items[first : first + len(old)] = [dict(x) for x in edit["items"]]
+        if not new:
+            return {"t": "insert", "after": items[first - 1]["id"] if first else None, "items": old}
+        return {"t": "replace", "ids": new, "items": old}
     if kind == "insert":
         new = [x["id"] for x in edit["items"]]
         if len(set(new)) < len(new) or {x["id"] for x in items} & set(new):
@@ -52,6 +71,7 @@ def apply_edit(items: list[dict], edit: dict) -> dict:
             return {"t": "all", "edits": [{"t": "insert", "after": b["after"], "items": [b["item"]]} for b in back]}
         if edit.get("after") in taken:
             raise Edit("items cannot move after one of themselves")
+        _after(items, edit.get("after"))
         items[:] = [x for x in items if x["id"] not in taken]
         k = _after(items, edit.get("after"))
         items[k:k] = [taken[x] for x in edit["ids"]]
@@ -78,12 +98,13 @@ def apply_edit(items: list[dict], edit: dict) -> dict:
     return {"t": "all", "edits": [undo, {"t": "set", "id": rest["id"], "fields": others}]} if others else undo
 
 
-def fold_edits(log: DataFrame, checkpoints: DataFrame | None = None) -> DataFrame:
-    """doc_id, version, ok, items (JSON) and reverse (JSON) after each edit of log (doc_id, version, edit as JSON).
+def fold_edits(log: DataFrame, checkpoints: DataFrame | None = None, every: int = 0) -> DataFrame:
+    """doc_id, version, ok, reverse (JSON) of each edit of log (doc_id, version, edit as JSON), and items (JSON) of a document's last version.
 
     checkpoints (doc_id, version, items) gives states to start from: of each
-    document the last one counts, and edits up to it are left out. An edit that
-    does not fit leaves the state as it is, with ok false.
+    document the last one counts, and edits up to it are left out. every: items
+    also of each version that it divides, as new checkpoints. An edit that does
+    not fit leaves the state as it is, with ok false.
     """
     rows = log.select("doc_id", "version", "edit", F.lit(None).cast("string").alias("items"))
     if checkpoints is not None:
@@ -93,17 +114,35 @@ def fold_edits(log: DataFrame, checkpoints: DataFrame | None = None) -> DataFram
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         items, out = [], []
-        for r in frame.sort_values("version").itertuples():
+        frame = frame.sort_values("version")
+        end = frame["version"].iloc[-1]
+        for r in frame.itertuples():
             if r.edit is None:
                 items = json.loads(r.items)
                 continue
-            trial = [dict(x) for x in items]
             try:
-                reverse = json.dumps(apply_edit(trial, json.loads(r.edit)), sort_keys=True)
-                items, ok = trial, True
+                reverse, ok = json.dumps(apply_edit(items, json.loads(r.edit)), sort_keys=True), True
             except (Edit, KeyError):
                 reverse, ok = None, False
-            out.append((r.doc_id, r.version, ok, json.dumps(items, sort_keys=True), reverse))
+            state = json.dumps(items, sort_keys=True) if r.version == end or every and r.version % every == 0 else None
+            out.append((r.doc_id, r.version, ok, state, reverse))
         return pd.DataFrame(out, columns=["doc_id", "version", "ok", "items", "reverse"])
 
     return rows.groupBy("doc_id").applyInPandas(run, "doc_id string, version long, ok boolean, items string, reverse string")
+
+
+def rebuilt(log: DataFrame, checkpoints: DataFrame, versions: DataFrame) -> DataFrame:
+    """doc_id, version, items: the state at the version asked for (one a document), from the checkpoint at or before it."""
+    wanted = versions.select("doc_id", F.col("version").alias("wanted"))
+    upto = log.join(wanted, "doc_id").where("version <= wanted").drop("wanted")
+    points = checkpoints.join(wanted, "doc_id").where("version <= wanted").drop("wanted")
+    folded = fold_edits(upto, points).where("items IS NOT NULL").select("doc_id", "items")
+    at_point = points.groupBy("doc_id").agg(F.max_by("items", "version").alias("kept"))
+    found = versions.join(folded, "doc_id", "left").join(at_point, "doc_id", "left")
+    return found.select("doc_id", "version", F.coalesce("items", "kept", F.lit("[]")).alias("items"))
+
+
+def composed(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """One change for each of keys: its edits in order of version, and its reverses the other way round."""
+    rows = changes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("version", "edit", "reverse"))).alias("c"), F.max("version").alias("version"))
+    return rows.select(*keys, "version", F.transform("c", lambda x: x["edit"]).alias("edits"), F.reverse(F.transform("c", lambda x: x["reverse"])).alias("reverses"))

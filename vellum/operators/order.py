@@ -9,25 +9,46 @@ from pyspark.sql import Column, functions as F
 
 
 def kept_in_order(base: list[str], own: list[str]) -> list[str]:
-    """The longest list of ids that both have in the same order; each id once."""
+    """The longest list of ids that both have in the same order, of several the one earliest in own; each id once."""
     at = {x: i for i, x in enumerate(base)}
     common = [x for x in own if x in at]
-    tails: list[int] = []
-    ends: list[int] = []
-    before = [-1] * len(common)
-    for k, x in enumerate(common):
-        j = bisect_left(tails, at[x])
-        if j == len(tails):
-            tails.append(at[x])
-            ends.append(k)
+    # from the right: how long an ascending list can begin with each id; heads[k] is the largest place that begins one of k + 1
+    heads: list[int] = []
+    reach = []
+    for x in reversed(common):
+        k = bisect_left(heads, -at[x])
+        heads[k : k + 1] = [-at[x]]
+        reach.append(k + 1)
+    out, want, place = [], len(heads), -1
+    for x, n in zip(common, reversed(reach), strict=True):
+        if n == want and at[x] > place:
+            out.append(x)
+            want, place = want - 1, at[x]
+    return out
+
+
+def blocks(base: list[str], own: list[str]) -> list[tuple[list[str], str | None, str | None]]:
+    """The fewest block moves from one order to the other, over what both have: ids moved together, what they follow in own and in base."""
+    shared = set(base) & set(own)
+    first, second = [x for x in base if x in shared], [x for x in own if x in shared]
+    stay, at, out = set(kept_in_order(first, second)), {x: i for i, x in enumerate(first)}, []
+    for i, x in enumerate(second):
+        if x in stay:
+            continue
+        if i and second[i - 1] not in stay:
+            out[-1][0].append(x)
         else:
-            tails[j], ends[j] = at[x], k
-        before[k] = ends[j - 1] if j else -1
-    out, k = [], ends[-1] if ends else -1
-    while k >= 0:
-        out.append(common[k])
-        k = before[k]
-    return out[::-1]
+            out.append(([x], second[i - 1] if i else None, first[at[x] - 1] if at[x] else None))
+    return out
+
+
+def statements(base: Column | str, own: Column | str) -> Column:
+    """blocks() of two arrays of distinct ids."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([[{"moved": m, "after": x, "after_in_base": y} for m, x, y in blocks(list(p), list(q))] for p, q in zip(a, b, strict=True)])
+
+    return F.pandas_udf(run, "array<struct<moved:array<string>,after:string,after_in_base:string>>")(base, own)
 
 
 def moved(base: Column | str, own: Column | str) -> Column:

@@ -95,7 +95,8 @@ def unique_slugs(rows: DataFrame, slug: str, order: Sequence[str]) -> DataFrame:
 
 def top_merge(parts: dict[str, DataFrame], order: Sequence[Column], k: int) -> DataFrame:
     """The first k rows of all parts together; each part gives its own first k only."""
-    return tagged_union({kind: df.orderBy(*order).limit(k) for kind, df in parts.items()}).orderBy(*order).limit(k)
+    own = {kind: df.orderBy(*order).limit(k) for kind, df in parts.items()}
+    return tagged_union(own).orderBy(*order, "kind").limit(k)
 
 
 def two_source_tally(a: DataFrame, b: DataFrame, key: str, at: str, member: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 
 def changes(rows: DataFrame, kinds: dict[str, str], at: str) -> DataFrame:
@@ -15,6 +16,28 @@ def changes(rows: DataFrame, kinds: dict[str, str], at: str) -> DataFrame:
     return rows.select(F.col(at).alias("at"), F.explode(marks).alias("m")).select("m.kind", "m.record", "at").where("record IS NOT NULL")
 
 
+def fan_out(changed: DataFrame, routes: dict[str, tuple[str, DataFrame | None, str | None]]) -> DataFrame:
+    """kind, record of what a change makes to be written anew, each once: by the changed column itself, or through a table joined on it.
+
+    Holds for a stream of changes, too: the tables are static sides. Duplicates are then dropped within the batch.
+    """
+    parts = []
+    for kind, (column, via, target) in routes.items():
+        rows = changed.select(column) if via is None else changed.select(column).join(via.select(column, target), column)
+        parts.append(rows.select(F.lit(kind).alias("kind"), F.col(target or column).alias("record")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out.where("record IS NOT NULL").distinct()
+
+
+def in_order(rows: DataFrame, keys: list[str], version: str, arrival: list[str]) -> DataFrame:
+    """Adds verdict: late for a row whose version is not above the highest that came before it, else apply."""
+    over = Window.partitionBy(*keys).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
+    head = F.max(version).over(over)
+    return rows.withColumn("verdict", F.when(head.isNull() | (head < F.col(version)), "apply").otherwise("late"))
+
+
 def quiet(marks: DataFrame, now: str, delay_s: int) -> DataFrame:
     """Batch form of debounce: keys whose last mark is at least delay_s before now."""
     last = marks.groupBy("kind", "record").agg(F.max("at").alias("at"))
