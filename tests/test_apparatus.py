@@ -23,9 +23,9 @@ def test_lemma_places_and_drift(spark):
 def test_columns(spark):
     row = spark.range(1).select(
         ids.normal_orcid(F.lit("https://orcid.org/0000-0002-1825-0097")).alias("orcid"), fx.orcid_ok(F.lit("0000-0002-1825-0097")).alias("ok"), fx.orcid_ok(F.lit("0000-0002-1825-0098")).alias("bad"),
-        ids.licence_compatible(F.lit("cc-by"), F.lit("cc-by-sa")).alias("in_"), ids.licence_compatible(F.lit("cc-by-sa"), F.lit("cc0")).alias("out"),
-        ids.passage_urn(F.lit("urn:w"), [F.lit("1"), F.lit(None).cast("string"), F.lit("3")]).alias("urn"),
+        ids.licence_compatible(F.lit("CC-BY-4.0"), F.lit("CC-BY-SA-4.0")).alias("in_"), ids.licence_compatible(F.lit("CC-BY-SA-4.0"), F.lit("CC0-1.0")).alias("out"),
+        ids.passage_urn(F.lit("urn:cts:lib:w"), [F.lit("1"), F.lit(None).cast("string"), F.lit("3")]).alias("urn"), ids.passage_urn(F.lit("urn:w"), [F.lit("1")]).alias("no_urn"), ids.normal_orcid(F.lit("0000-0002-1825-0098")).alias("no_orcid"),
         fx.fold(F.lit("Λόγος, «ΑΒ»")).alias("fold"), fx.fold_bare(F.lit("Λόγος,")).alias("bare"), fx.fold_plain(F.lit("Iulius vidit"), F.lit("la")).alias("la"),
         fx.sort_key(fx.number_key(F.lit("12b")), fx.text_key(F.lit("pr"))).alias("key"), fx.similarity(F.lit(""), F.lit("")).alias("same"), fx.slugify(F.lit("  Élan vital! ")).alias("slug"),
     ).first()
-    assert row.asDict() == {"orcid": "0000-0002-1825-0097", "ok": True, "bad": False, "in_": True, "out": False, "urn": "urn:w:1", "fold": "λόγοσ αβ", "bare": "λογοσ", "la": "iulius uidit", "key": "00000012b.pr      ", "same": 1.0, "slug": "elan-vital"}
+    assert row.asDict() == {"orcid": "0000-0002-1825-0097", "ok": True, "bad": False, "in_": True, "out": False, "urn": "urn:cts:lib:w:1", "no_urn": None, "no_orcid": None, "fold": "λόγοσ αβ", "bare": "λογοσ", "la": "iulius uidit", "key": "00000012b.pr      ", "same": 1.0, "slug": "elan-vital"}

@@ -430,16 +430,23 @@ def count_changes(spark, sf_dir):  # noqa: ANN001, ANN201
     return registry.conditional_counts(table(spark, sf_dir, "events"), ["user_id"], tests)
 
 
+def _collation(spark, sf_dir):  # noqa: ANN001, ANN202
+    return collate.Collation(collate.keyed(collate.lined_up(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 @query()
 def collate_sites(spark, sf_dir):  # noqa: ANN001, ANN201
-    texts = collate.arrays(collate.units_of_lines(table(spark, sf_dir, "documents")))
-    return collate.apparatus(collate.readings(texts))
+    return collate.apparatus(_collation(spark, sf_dir).readings())
 
 
 @query()
 def collate_kinds(spark, sf_dir):  # noqa: ANN001, ANN201
-    texts = collate.arrays(collate.units_of_lines(table(spark, sf_dir, "documents")))
-    return collate.site_kinds(collate.readings(texts)).groupBy("kind").agg(F.count("*").alias("n"))
+    return _collation(spark, sf_dir).kinds().groupBy("site_kind").agg(F.count("*").alias("n"))
+
+
+@query()
+def collate_anchors(spark, sf_dir):  # noqa: ANN001, ANN201
+    return _collation(spark, sf_dir).anchors().groupBy("grp").agg(F.count("*").alias("n"))
 
 
 @query()
