@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from vellum.plans import catalogue, queries, streams, texts  # noqa: F401  (each adds its queries)
+from vellum.plans import catalogue, queries, sources, streams, texts  # noqa: F401  (each adds its queries)
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")

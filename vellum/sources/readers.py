@@ -1,10 +1,9 @@
-"""Readers of the record formats: streams in JSON, segments in TSV, histories in ndjson, plain text with numbers."""
+"""Readers of the record formats: streams in JSON, segments in TSV, histories in ndjson."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 #: The fields of the formats.
 ITEM = (
@@ -39,27 +38,3 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 
 def read_changesets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(StructType.fromDDL(CHANGESET)).json(path)
-
-
-#: Patterns of a line's number, by the name of the way it is written.
-NUMBERED = {"bracketed": r"^\s*[\[(]([0-9]+[a-z]?(?:\.[0-9]+[a-z]?)*)[\])]\s*(.*)$", "line-start": r"^\s*([0-9]+[a-z]?(?:\.[0-9]+[a-z]?)*)[.:]?\s+(.*)$", "margin": r"^()(.*?)\s{2,}[0-9]+\s*$"}
-
-
-def numbering(lines: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """How each document numbers its lines: the way that fits most of its lines, none below a fifth of them."""
-    hits = [F.count_if(F.col(text).rlike(p)).alias(n) for n, p in NUMBERED.items()]
-    counted = lines.where(F.trim(text) != "").groupBy(doc).agg(F.count("*").alias("lines"), *hits)
-    best = F.greatest(*NUMBERED)
-    way = F.when(best * 5 < F.col("lines"), F.lit("none"))
-    for n in NUMBERED:
-        way = way.when(F.col(n) == best, F.lit(n))
-    return counted.select(doc, "lines", way.alias("way"), best.alias("numbered"))
-
-
-def numbered_lines(lines: DataFrame, way: str, doc: str = "doc_id", line: str = "line", text: str = "text") -> DataFrame:
-    """label and text of each line; a line without a number belongs to the number before it."""
-    pattern = NUMBERED[way]
-    found: Column = F.when(F.col(text).rlike(pattern), F.regexp_extract(text, pattern, 1))
-    rest = F.when(F.col(text).rlike(pattern), F.regexp_extract(text, pattern, 2)).otherwise(F.col(text))
-    over = Window.partitionBy(doc).orderBy(line)
-    return lines.withColumn("own", found).withColumn("label", F.last("own", ignorenulls=True).over(over)).withColumn(text, rest).drop("own")
