@@ -223,7 +223,7 @@ def union_identifiers(spark, sf_dir):  # noqa: ANN001, ANN201
 ENTRY = "CASE c_custkey % 6 WHEN 0 THEN 'Fam' || c_custkey || ', Given' WHEN 1 THEN 'Anna B' || c_custkey || ' and Carl van D' || c_nationkey WHEN 2 THEN 'Fam' || c_custkey || ', A and Two, B and Three, C' WHEN 3 THEN 'Fam' || c_custkey || ', A and others' WHEN 4 THEN '{Body and ' || c_custkey || '}' ELSE '' END"
 
 
-def _entries(spark, sf_dir):  # noqa: ANN001, ANN202
+def entries(spark, sf_dir):  # noqa: ANN001, ANN202
     k, n, kind = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"), F.col("c_custkey") % 6
     author = (
         F.when(kind == 0, F.concat(F.lit("Fam"), k, F.lit(", Given"))).when(kind == 1, F.concat(F.lit("Anna B"), k, F.lit(" and Carl van D"), n)).when(kind == 2, F.concat(F.lit("Fam"), k, F.lit(", A and Two, B and Three, C")))
@@ -237,18 +237,18 @@ def _entries(spark, sf_dir):  # noqa: ANN001, ANN202
 @query(f"""WITH e AS (SELECT c_custkey, c_custkey % 6 AS kind, c_nationkey AS n, CASE WHEN c_nationkey % 2 = 0 THEN (1900 + c_nationkey)::VARCHAR ELSE '' END AS year FROM customer)
 SELECT c_custkey, trim(CASE kind WHEN 0 THEN 'Fam' || c_custkey WHEN 1 THEN 'B' || c_custkey || ' and van D' || n WHEN 4 THEN 'Body and ' || c_custkey WHEN 5 THEN 'House' || n ELSE 'Fam' || c_custkey || ' et al.' END || ' ' || year) AS label, year FROM e""")
 def citation_labels(spark, sf_dir):  # noqa: ANN001, ANN201
-    return _entries(spark, sf_dir).select("c_custkey", bibliography.citation_label(F.col("fields"), F.lit("key")).alias("label"), bibliography.citation_year(F.col("fields")).alias("year"))
+    return entries(spark, sf_dir).select("c_custkey", bibliography.citation_label(F.col("fields"), F.lit("key")).alias("label"), bibliography.citation_year(F.col("fields")).alias("year"))
 
 
 @query(f"""SELECT c_custkey, CASE c_custkey % 6 WHEN 1 THEN 'B' || c_custkey || ', Anna and van D' || c_nationkey || ', Carl' WHEN 3 THEN {ENTRY} ELSE {ENTRY} END AS names FROM customer""")
 def names_round_trip(spark, sf_dir):  # noqa: ANN001, ANN201
-    return _entries(spark, sf_dir).select("c_custkey", bibliography.serialize_names(bibliography.parse_names(F.col("fields")["author"])).alias("names"))
+    return entries(spark, sf_dir).select("c_custkey", bibliography.serialize_names(bibliography.parse_names(F.col("fields")["author"])).alias("names"))
 
 
 @query(f"""SELECT c_custkey, '@book{{k' || c_custkey || ',' || chr(10) || '  author = {{' || {ENTRY} || '}},' || chr(10) || '  title = {{The {{Title}} of the work ' || c_custkey || ': a study}},' || chr(10)
   || '  date = {{' || CASE WHEN c_nationkey % 2 = 0 THEN 'c. ' || (1900 + c_nationkey) ELSE '' END || '}},' || chr(10) || '  publisher = {{' || CASE WHEN c_custkey % 6 = 5 THEN 'House' || c_nationkey ELSE '' END || '}},' || chr(10) || '  zz = {{' || c_custkey || '}},' || chr(10) || '}}' AS entry FROM customer""")
-def biblatex_entries(spark, sf_dir):  # noqa: ANN001, ANN201
-    return _entries(spark, sf_dir).select("c_custkey", bibliography.serialized(F.lit("book"), F.concat(F.lit("k"), F.col("c_custkey").cast("string")), F.col("fields")).alias("entry"))
+def biblatexentries(spark, sf_dir):  # noqa: ANN001, ANN201
+    return entries(spark, sf_dir).select("c_custkey", bibliography.serialized(F.lit("book"), F.concat(F.lit("k"), F.col("c_custkey").cast("string")), F.col("fields")).alias("entry"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'cf. ' ELSE '' END || 'W ' || o_orderkey || CASE WHEN o_custkey % 3 = 0 THEN ', ' || o_custkey ELSE '' END AS citation FROM orders""")
