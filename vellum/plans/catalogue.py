@@ -329,3 +329,41 @@ SELECT r.grp, r.key, CASE WHEN k = 1 THEN 'codd.' WHEN n = m AND n > 2 AND r.key
 def name_witnesses(spark, sf_dir):  # noqa: ANN001, ANN201
     readings = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("grp"), (F.col("l_suppkey") % 4).alias("key")).agg(F.collect_set(F.col("l_linenumber").cast("string")).alias("texts"))
     return apparatus.named(readings, "grp", "key").select("grp", "key", F.when(F.col("named").isin("cett.", "codd."), F.col("named")).otherwise(F.size("texts").cast("string")).alias("named"))
+
+
+# passages
+
+SIDES = """z AS (SELECT l_orderkey AS ed, l_linenumber AS segment, min(l_partkey) % 9 AS n_base, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2),
+b AS (SELECT *, coalesce(sum(n_base) OVER (PARTITION BY ed ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x, row_number() OVER (PARTITION BY ed ORDER BY segment) AS nth FROM z),
+sides AS (SELECT ed, segment, t AS text_id, (s + t) % 7 <> 0 AS words FROM z, range(3) r(t) WHERE (s + t) % 5 <> 0),
+sites AS (SELECT ed, segment, text_id, (n_base // 2)::INT AS f, CASE WHEN text_id = 1 THEN (n_base // 2)::INT ELSE (n_base // 2 + n_base % 2)::INT END AS t FROM sides JOIN z USING (ed, segment) WHERE (s + segment + text_id) % 3 = 0 AND words),
+edges AS (SELECT ed, segment, s % 2 = 0 AS at_end FROM z WHERE s % 11 = 3)"""
+
+
+@query(f"""WITH {SIDES}, d AS (SELECT v.ed, v.text_id, b.nth, b.x + f - CASE WHEN f = t THEN 0.5 ELSE 0 END AS first, b.x + t + CASE WHEN f = t THEN 0.5 ELSE 0 END AS last FROM sites v JOIN b USING (ed, segment)),
+th AS (SELECT ed, text_id, nth, words FROM sides JOIN b USING (ed, segment)),
+dep AS (SELECT DISTINCT p.ed, k.nth FROM d p JOIN d q ON q.ed = p.ed AND q.text_id = p.text_id JOIN b k ON k.ed = p.ed AND k.nth > p.nth AND k.nth <= q.nth WHERE k.x - p.last < 4 AND q.first - k.x < 4
+  AND (SELECT count(*) FROM th WHERE th.ed = p.ed AND th.text_id = p.text_id AND th.nth BETWEEN p.nth AND q.nth) = q.nth - p.nth + 1),
+wo AS (SELECT DISTINCT a.ed, a.nth FROM th a JOIN th p ON p.ed = a.ed AND p.text_id = a.text_id AND p.nth = a.nth - 1 WHERE NOT (a.words AND p.words)),
+ed AS (SELECT DISTINCT e.ed, b.nth + CASE WHEN at_end THEN 1 ELSE 0 END AS nth FROM edges e JOIN b USING (ed, segment))
+SELECT b.ed, b.segment, CASE WHEN b.s % 13 = 5 THEN 'divided' WHEN ed.nth IS NOT NULL THEN 'words' WHEN wo.nth IS NOT NULL THEN 'without' WHEN dep.nth IS NOT NULL THEN 'departures' END AS reason
+FROM b LEFT JOIN ed ON ed.ed = b.ed AND ed.nth = b.nth LEFT JOIN wo ON wo.ed = b.ed AND wo.nth = b.nth LEFT JOIN dep ON dep.ed = b.ed AND dep.nth = b.nth WHERE b.nth > 1""")
+def boundary_reasons(spark, sf_dir):  # noqa: ANN001, ANN201
+    z = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("ed"), F.col("l_linenumber").alias("segment")).agg((F.min("l_partkey") % 9).alias("n_base"), F.min("l_suppkey").alias("s"))
+    every = z.withColumn("text_id", F.explode(F.array(*map(F.lit, range(3))))).where("(s + text_id) % 5 != 0").withColumn("words", (F.col("s") + F.col("text_id")) % 7 != 0)
+    half = F.expr("int(n_base div 2)")
+    sites = every.where("(s + segment + text_id) % 3 = 0 AND words").select("ed", "segment", "text_id", half.alias("from"), F.when(F.col("text_id") == 1, half).otherwise(half + F.expr("int(n_base % 2)")).alias("to"))
+    edges = z.where("s % 11 = 3").select("ed", "segment", F.lit(0).alias("text_id"), (F.col("s") % 2 == 0).alias("at_end"))
+    return passages.boundary_reasons(every.select("ed", "segment", "text_id", "words"), z.select("ed", "segment", "n_base"), sites, edges, z.where("s % 13 = 5").select("ed", "segment"))
+
+
+@query("""WITH w AS (SELECT o_custkey AS ed, o_orderkey % 3 AS letters, o_orderkey // 60 AS passage, o_orderkey AS "at", o_orderkey % 2 AS side FROM orders),
+p AS (SELECT m.ed, m."at" AS m, a."at" AS a, abs(m."at" - a."at") AS distance FROM w m JOIN w a ON a.ed = m.ed AND a.letters = m.letters AND m.side = 0 AND a.side = 1 AND a.passage <> m.passage AND abs(m."at" - a."at") <= 24),
+r AS (SELECT *, row_number() OVER (PARTITION BY ed, m ORDER BY distance, m, a) AS i, row_number() OVER (PARTITION BY ed, a ORDER BY distance, m, a) AS j FROM p),
+f AS (SELECT * FROM r WHERE i = 1 AND j = 1), s AS (SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.ed = p.ed AND (f.m = p.m OR f.a = p.a))),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY ed, m ORDER BY distance, m, a) AS i, row_number() OVER (PARTITION BY ed, a ORDER BY distance, m, a) AS j FROM s)
+SELECT ed, m, a, distance FROM f UNION ALL SELECT ed, m, a, distance FROM r2 WHERE i = 1 AND j = 1""")
+def link_passages(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Two rounds of the SQL are enough for the links that these rows can have."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ed"), F.lit("t").alias("text_id"), (F.col("o_orderkey") % 3).alias("letters"), F.expr("o_orderkey div 60").alias("passage"), F.col("o_orderkey").alias("at"))
+    return passages.link_words(rows.where("at % 2 = 0"), rows.where("at % 2 = 1")).select("ed", "m", "a", "distance")
