@@ -93,6 +93,19 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str,
     return both.withColumn(value, found["v"]).where("NOT __right").drop("__at", "__side", "__v", "__right")
 
 
+def before_in_order(rows: DataFrame, cell: str, value: str, width: int = 4096) -> DataFrame:
+    """cell, earlier: the last value of the cells before each (numbers, each once; null: none there).
+
+    Cells are taken in stretches of width; only the stretches' last values, one in width of the cells, are carried on in one order.
+    """
+    wide = rows.withColumn("__s", F.floor(F.col(cell) / width))
+    inside = Window.partitionBy("__s").orderBy(cell)
+    own = wide.withColumn("__in", F.last(value, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = wide.groupBy("__s").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(cell))).alias("__end"))
+    carried = ends.withColumn("__out", F.last("__end", ignorenulls=True).over(Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1))).select("__s", "__out")
+    return own.join(carried, "__s").select(cell, F.coalesce("__in", "__out").alias("earlier"))
+
+
 def dedupe_consecutive(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Drops a row whose value is that of the row before it."""
     before = F.lag(F.struct(value)).over(ordered(keys, order))

@@ -124,10 +124,7 @@ def unprinted_asof(spark, sf_dir):  # noqa: ANN001, ANN201
     have = printed.withColumn("cell", F.floor(F.col("o_orderkey") / cell)).withColumn("after_key", F.col("o_orderkey"))
     found = stream.as_of(lacking.select("l_orderkey", F.floor(F.col("l_orderkey") / cell).alias("cell")), have, ["cell"], "l_orderkey", "o_orderkey", "after_key", strict=True)
     tops = have.groupBy("cell").agg(F.max("o_orderkey").alias("top"))
-    from pyspark.sql.window import Window
-
-    before = tops.unionByName(found.select("cell").distinct().join(tops, "cell", "left_anti").withColumn("top", F.lit(None).cast("long")))
-    before = before.withColumn("earlier", F.last("top", ignorenulls=True).over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))).select("cell", "earlier")
+    before = stream.before_in_order(tops.unionByName(found.select("cell").distinct().join(tops, "cell", "left_anti").withColumn("top", F.lit(None).cast("long"))), "cell", "top")
     return found.join(before, "cell", "left").select("l_orderkey", F.coalesce("after_key", "earlier").alias("after_key"))
 
 
@@ -160,18 +157,18 @@ def sessions_user(spark, sf_dir):  # noqa: ANN001, ANN201
     return history.sessions(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "ts").select("event_id", "session")
 
 
-@query(SESSIONS.format(keep="ts - pt <= INTERVAL 20 MINUTE AND pu IS NOT DISTINCT FROM user_id", key="event_type", order="event_id"))
+@query(SESSIONS.format(keep="ts - pt <= INTERVAL 20 MINUTE AND pu IS NOT DISTINCT FROM user_id", key="event_id % 997", order="event_id"))
 def sessions_interleaved(spark, sf_dir):  # noqa: ANN001, ANN201
-    return history.sessions(table(spark, sf_dir, "events"), ["event_type"], ["event_id"], "ts", "user_id").select("event_id", "session")
+    return history.sessions(table(spark, sf_dir, "events").withColumn("doc", F.col("event_id") % 997), ["doc"], ["event_id"], "ts", "user_id").select("event_id", "session")
 
 
 @query("""
-WITH s AS (SELECT event_id, event_type, event_id % 50 = 0 AS kept, user_id, date_trunc('day', ts) AS slot FROM events),
-b AS (SELECT *, CASE WHEN lag(user_id) OVER w IS NOT DISTINCT FROM user_id AND lag(slot) OVER w IS NOT DISTINCT FROM slot AND NOT coalesce(lag(kept) OVER w, true) THEN 0 ELSE 1 END AS f FROM s WINDOW w AS (PARTITION BY event_type ORDER BY event_id)),
-g AS (SELECT *, sum(f) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS part FROM b)
-SELECT event_type, part, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS n FROM g GROUP BY event_type, part""")
+WITH s AS (SELECT event_id, user_id % 500 AS doc, event_id % 50 = 0 AS kept, user_id, date_trunc('day', ts) AS slot FROM events),
+b AS (SELECT *, CASE WHEN lag(user_id) OVER w IS NOT DISTINCT FROM user_id AND lag(slot) OVER w IS NOT DISTINCT FROM slot AND NOT coalesce(lag(kept) OVER w, true) THEN 0 ELSE 1 END AS f FROM s WINDOW w AS (PARTITION BY doc ORDER BY event_id)),
+g AS (SELECT *, sum(f) OVER (PARTITION BY doc ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS part FROM b)
+SELECT doc, part, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS n FROM g GROUP BY doc, part""")
 def thin_history(spark, sf_dir):  # noqa: ANN001, ANN201
-    return history.thin(table(spark, sf_dir, "events"), ["event_type"], ["event_id"], "ts", "user_id", F.col("event_id") % 50 == 0, "day")
+    return history.thin(table(spark, sf_dir, "events").withColumn("doc", F.col("user_id") % 500), ["doc"], ["event_id"], "ts", "user_id", F.col("event_id") % 50 == 0, "day")
 
 
 @query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS DISTINCT FROM event_type")
@@ -179,9 +176,9 @@ def describe_dedupe(spark, sf_dir):  # noqa: ANN001, ANN201
     return stream.dedupe_consecutive(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type").select("event_id", "user_id", "event_type")
 
 
-@query("SELECT event_id, event_type, lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) AS parent_id FROM events")
+@query("SELECT event_id, event_type, lag(event_id) OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS parent_id FROM events")
 def changeset_parent(spark, sf_dir):  # noqa: ANN001, ANN201
-    return history.parents(table(spark, sf_dir, "events"), ["event_type"], ["event_id"], "event_id").select("event_id", "event_type", "parent_id")
+    return history.parents(table(spark, sf_dir, "events"), ["event_type", "user_id"], ["event_id"], "event_id").select("event_id", "event_type", "parent_id")
 
 
 @query(f"WITH {TOKENS} SELECT doc_id, string_agg(form || '@' || CASE WHEN form ~ '^[A-Z]' THEN 'la' ELSE lang END, ' ' ORDER BY line, pos) AS tagged FROM tokens GROUP BY doc_id")
@@ -208,9 +205,8 @@ WHERE a.o_orderstatus = 'F' AND b.o_orderstatus = 'O' GROUP BY a.o_custkey""")
 def conflicting_ids(spark, sf_dir):  # noqa: ANN001, ANN201
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     touched = orders.join(items, F.col("l_orderkey") == F.col("o_orderkey"))
-    sets = touched.groupBy("o_custkey").agg(*(F.collect_set(F.when(F.col("o_orderstatus") == s, F.col("l_partkey"))).alias(s) for s in "FO"))
-    both = sets.select("o_custkey", F.array_intersect("F", "O").alias("x")).where(F.size("x") > 0)
-    return both.select("o_custkey", F.size("x").cast("long").alias("n_conflicting"), F.array_min("x").alias("first_conflict"))
+    either = touched.groupBy("o_custkey", "l_partkey").agg(*(F.max(F.col("o_orderstatus") == x).alias(x) for x in "FO")).where("F AND O")
+    return either.groupBy("o_custkey").agg(F.count("*").alias("n_conflicting"), F.min("l_partkey").alias("first_conflict"))
 
 
 @query("""
@@ -475,7 +471,10 @@ def quiet_marks(spark, sf_dir):  # noqa: ANN001, ANN201
     return keyed.quiet(marks, "2024-02-01 00:00:00", 3600).withColumnRenamed("at", "last_at")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, t AS start, 1 AS c FROM o WHERE n = 1 UNION ALL
+  SELECT o.user_id, o.event_id, o.n, CASE WHEN o.t - r.start >= 3600000000 THEN o.t ELSE r.start END, CASE WHEN o.t - r.start >= 3600000000 THEN 1 ELSE r.c + 1 END FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
+SELECT user_id, event_id AS hit_id, c <= 3 AS allowed FROM r""")
 def rate_limited(spark, sf_dir):  # noqa: ANN001, ANN201
     hits = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("hit_id"), "ts")
     return keyed.rate_limit_batch(hits, "user_id", "ts", 3, 3600)
@@ -492,7 +491,11 @@ def html_to_stream(spark, sf_dir):  # noqa: ANN001, ANN201
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(words).alias("pos", "form")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TOKENS}, l AS (SELECT doc_id, line, count(*) AS n, arg_max(form, pos) AS last FROM tokens GROUP BY doc_id, line),
+s AS (SELECT doc_id, line, n, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS k, coalesce(NOT regexp_matches(lag(last) OVER (PARTITION BY doc_id ORDER BY line), '[.!?|]$'), false) AS uncut FROM l),
+r AS (SELECT doc_id, k, line AS segment, line AS passage, 1 AS taken, n AS words FROM s WHERE k = 1 UNION ALL
+  SELECT s.doc_id, s.k, s.line, CASE WHEN uncut AND taken < 12 AND words + n <= 240 THEN passage ELSE s.line END, CASE WHEN uncut AND taken < 12 AND words + n <= 240 THEN taken + 1 ELSE 1 END, CASE WHEN uncut AND taken < 12 AND words + n <= 240 THEN words + n ELSE n END FROM r JOIN s ON s.doc_id = r.doc_id AND s.k = r.k + 1)
+SELECT doc_id, segment, passage FROM r""")
 def plan_passages(spark, sf_dir):  # noqa: ANN001, ANN201
     """Lines of documents as segments; a boundary is uncut where the line before does not end a sentence."""
     from pyspark.sql.window import Window

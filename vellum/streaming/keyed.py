@@ -77,7 +77,11 @@ def _limited(times: list[int], start: int, count: int, window_us: int, limit: in
 
 
 def rate_limit_batch(hits: DataFrame, key: str, at: str, limit: int, window_s: int) -> DataFrame:
-    """Adds allowed: a window opens with the first hit and admits so many."""
+    """Adds allowed: a window opens with the first hit and admits so many.
+
+    A pause of a window's length makes the next hit the first of a window whatever
+    came before, so a key's hits are cut there, and the pieces are dealt out.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values([at, "hit_id"])
@@ -85,8 +89,11 @@ def rate_limit_batch(hits: DataFrame, key: str, at: str, limit: int, window_s: i
         return frame.assign(allowed=_limited(times, 0, 0, window_s * 1_000_000, limit)[0])[[key, "hit_id", "allowed"]]
 
     schema = f"{key} {hits.schema[key].dataType.simpleString()}, hit_id {hits.schema['hit_id'].dataType.simpleString()}, allowed boolean"
-    micros = hits.withColumn(at, F.col(at).cast("timestamp_ntz"))
-    return micros.select(key, "hit_id", at).groupBy(key).applyInPandas(run, schema)
+    micros = hits.select(key, "hit_id", F.col(at).cast("timestamp_ntz").alias(at))
+    over = Window.partitionBy(key).orderBy(at, "hit_id")
+    waited = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(over).cast("timestamp"))
+    cut = micros.withColumn("__w", F.coalesce((waited >= window_s * 1_000_000).cast("long"), F.lit(1))).withColumn("__piece", F.sum("__w").over(over)).drop("__w")
+    return cut.groupBy(key, "__piece").applyInPandas(run, schema)
 
 
 def rate_limit(hits: DataFrame, key: str, at: str, limit: int, window_s: int) -> DataFrame:
