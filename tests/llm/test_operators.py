@@ -68,6 +68,61 @@ def test_empty_table(spark, name):
     assert EMPTY[name](documents(spark, ["x"]).limit(0)).count() == 0
 
 
+ODD = [None, "", "one two three", "an old text with some words in it " * 12, "an old text with some words in it " * 12, "12 34", "MIT License " * 3]
+
+
+@pytest.mark.parametrize("name", EMPTY)
+def test_null_ids_and_repeated_rows(spark, name):
+    """Every row has its result; rows that repeat an id and a text have the same one, but for the places that they take."""
+    once = documents(spark, ODD)
+    rows = once.unionByName(once).unionByName(once.withColumn("doc_id", F.lit(None).cast("long")))
+    found = EMPTY[name](rows).collect()
+    if name == "op9":
+        docs = {(r["doc_id"], r["doc_tokens"]): 0 for r in found}
+        assert sum(r["length"] for r in found if r["doc_id"] is None) * 2 == sum(r["length"] for r in found if r["doc_id"] is not None) and docs
+        return
+    assert len(found) == 3 * len(ODD)
+    if name == "op6":
+        assert len({(r["shard"], r["slot"]) for r in found}) == len(found) and sum(r["doc_id"] is None for r in found) == len(ODD)
+        return
+    own = {}
+    for r in found:
+        if r["doc_id"] is not None:
+            own.setdefault(r["doc_id"], []).append(tuple(r))
+    assert all(len(x) == 2 and len(set(x)) == 1 for x in own.values())
+
+
+def test_near_dedup_recall_in_a_large_bucket(spark):
+    """Hundreds of copies of one text, each changed here and there, and others with a line repeated: links by brute force are found."""
+    rng = random.Random(8)
+    base, texts = [f"w{k}" for k in range(150)], []
+    for _ in range(700):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6])):
+            own[rng.randrange(150)] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(own) + rng.choice(["", "", " line that repeats itself" * 30]))
+    sets = [near_dedup.shingles(near_dedup.words_of(t)) for t in texts]
+    known = {x: i for i, x in enumerate(np.unique(np.concatenate(sets)).tolist())}
+    table = np.zeros((len(texts), len(known)), np.float32)
+    for i, x in enumerate(sets):
+        table[i, [known[y] for y in set(x.tolist())]] = 1
+    both = table @ table.T
+    size = table.sum(1)
+    links = np.argwhere(both >= 0.8 * (size[:, None] + size[None, :] - both))
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    got = by_id(near_dedup.near_classes(documents(spark, texts)))
+    joined = sum(got[a]["class_id"] == got[b]["class_id"] for a, b in links.tolist()) / len(links)
+    assert joined >= 0.999 and all(got[i]["class_id"] >= root(i) for i in range(len(texts)))
+
+
 def test_exact_dedup(docs, texts):
     table = docs.select("doc_id", "text").toPandas()
     con = duckdb.connect()

@@ -39,6 +39,8 @@ END = b"\xff"
 #: The end as a token; no word has white space.
 END_WORD = b" "
 BLOCK_BYTES = 16 << 20
+#: Byte strings that a task of the tree holds on average, at most; a context of two bytes is never divided.
+TASK_KEYS = 1_000_000
 #: Byte strings are sorted so many at a time.
 CHUNK = 1 << 20
 
@@ -221,7 +223,8 @@ def _log10(upper):  # noqa: ANN001
 
 def context_tree(totals: DataFrame) -> DataFrame:
     """key, value: the log10 probability of each byte string's last byte after the others; totals has key and n."""
-    subtree = totals.repartition(shuffle_width(totals.sparkSession), F.substring("key", DEPTH - 1, 2))
+    width = max(shuffle_width(totals.sparkSession), math.ceil(totals.count() / TASK_KEYS))
+    subtree = totals.repartition(width, F.substring("key", DEPTH - 1, 2))
     sums = subtree.mapInArrow(_tops, "id long, zeros double, ones double, below double").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below")))
     rows = sums.collect()  # 256 x 255 at most
     columns = list(zip(*rows, strict=True)) or [[]] * 4
