@@ -1,7 +1,7 @@
 import json
 
 from vellum.operators import stream
-from vellum.sources import readers
+from vellum.sources import biblatex, markup, plaintext, readers
 
 
 def test_items_words_and_runs(spark, tmp_path):
@@ -22,8 +22,33 @@ def test_items_words_and_runs(spark, tmp_path):
     assert runs["c"]["segment"]["seg_id"] == "s1" and runs["f"]["segment"]["seg_id"] is None and runs["d"]["has_start"]
 
 
-def test_numbering(spark):
-    lines = spark.createDataFrame([(1, 0, "1 arma virumque"), (1, 1, "cano"), (1, 2, "2 Troiae"), (2, 0, "no number"), (2, 1, "here")], "doc_id int, line int, text string")
-    assert {r["doc_id"]: r["way"] for r in readers.numbering(lines).collect()} == {1: "line-start", 2: "none"}
-    got = readers.numbered_lines(lines.where("doc_id = 1"), "line-start").orderBy("line").collect()
-    assert [(r["label"], r["text"]) for r in got] == [("1", "arma virumque"), ("1", "cano"), ("2", "Troiae")]
+def test_tei_leiden_layout_and_entries():
+    body = """<TEI xmlns="x"><teiHeader>no</teiHeader><text><body><div type="book" n="1"><head>Of ships</head><lg><l n="1">two <supplied>br</supplied>oken <del>oars</del></l>
+<l n="2">lie <choice><sic>hear</sic><corr>here</corr></choice> <gap reason="lost"/> <choice><abbr>St</abbr><expan>Saint</expan></choice> a<lb break="no"/>way</l></lg></div></body></text></TEI>"""
+    items = markup.tei_items(body)
+    words = {x["form"]: x for x in items if x["kind"] == "token"}
+    assert list(words) == ["two", "broken", "oars", "lie", "hear", "St", "a", "way"]
+    assert words["broken"]["marks"] == [{"kind": "supplied", "attrs": None, "from": 0, "to": 2}] and words["oars"]["marks"][0]["kind"] == "del"
+    assert (words["hear"]["norm"], words["hear"]["unchecked"], words["St"]["marks"][0]["attrs"]) == ("here", True, {"expan": "Saint"})
+    assert words["a"]["join_next"] and [x["type"] for x in items if x["kind"] == "object"] == ["paratext", "gap"] and [x["label"] for x in items if x["has_start"]] == ["1", "1", "2"]
+    found = markup.leiden_items("arm[a] ca[no] [....] [---] [ca. 5] ⟦del⟧ un(it) open[ wo-\nrd")
+    assert [x["form"] or x["attrs"]["extent"] for x in found if x["kind"] != "break"] == ["arma", "cano", "4", "unknown", "5", "del", "unit", "open[", "wo", "rd"]
+    assert [m["kind"] for x in found for m in x["marks"]] == ["supplied", "supplied", "del", "expansion"] and found[-3]["join_next"]
+    alto = '<alto xmlns="a"><Layout><Page WIDTH="100" HEIGHT="200"><TextLine><String CONTENT="salve" HPOS="10" VPOS="20" WIDTH="50" HEIGHT="10"/></TextLine></Page></Layout></alto>'
+    assert markup.layout_words(alto) == [{"line": 0, "n": 0, "form": "salve", "x": 0.1, "y": 0.1, "w": 0.5, "h": 0.05}]
+    read = biblatex.entries('@string{p = "Press"} @book{a, title = {One {Two}}, journal = p # " House", year = 1990} @article{b, title = } @misc{c, month = feb,}')
+    assert [(e["kind"], e["key"], e["fields"]) for e in read if not e["fault"]] == [("book", "a", {"title": "One {Two}", "journaltitle": "Press House", "year": "1990"}), ("misc", "c", {"month": "02"})]
+    assert [e["kind"] for e in read if e["fault"]] == ["article"]
+
+
+def test_numbered_text(spark):
+    docs = spark.createDataFrame([(1, "1 arma virumque\ncano\n2) Troiae qui"), (2, "no number\nhere"), (3, "one [1.5] two [1.6]\nthree")], "doc_id int, text string")
+    lines = plaintext.text_lines(docs)
+    ways = {}
+    for r in plaintext.detect_numbering(lines).orderBy("doc_id", "rank").collect():
+        ways.setdefault(r["doc_id"], []).append(r["kind"])
+    assert ways == {1: ["line-start-number", "every-line"], 2: ["every-line"], 3: ["bracketed", "every-line"]}
+    got = plaintext.numbered_words(lines.where("doc_id = 3"), "bracketed").orderBy("line", "pos").collect()
+    assert [(r["form"], r["label"]) for r in got] == [("one", None), ("two", "1.5"), ("three", "1.6")]
+    every = plaintext.numbered_words(lines.where("doc_id = 2"), "every-line").orderBy("line", "pos").collect()
+    assert [(r["form"], r["label"]) for r in every] == [("no", "1"), ("number", None), ("here", "2")]
