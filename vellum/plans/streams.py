@@ -21,7 +21,7 @@ items AS (SELECT doc_id, line, k, h, form, row_number() OVER (PARTITION BY doc_i
   CASE WHEN h < 0 THEN CASE WHEN line % 5 = 0 THEN 'paragraph' WHEN line % 7 = 0 THEN 'page' ELSE 'line' END WHEN h = 0 THEN 'gap' WHEN h = 1 THEN 'note' END AS type,
   CASE WHEN h BETWEEN 20 AND 24 THEN lower(form) WHEN h = 25 THEN 'two ' || form WHEN h = 26 THEN '' END AS norm,
   coalesce(h IN (2, 3), false) AS join_next, h = 27 AS unchecked, CASE WHEN h >= 2 THEN CASE WHEN h % 10 = 9 THEN 'la' ELSE lang END END AS lang,
-  h >= 0 AND k = 1 AND line % 3 <> 2 AS has_start, CASE WHEN line % 11 <> 5 THEN 's' || (7 * line) % 5 END AS seg_id, 1 + line % 2 AS seg_part,
+  h >= 0 AND k = 1 AND line % 3 <> 2 AS has_start, CASE WHEN line % 11 <> 5 THEN 's' || (7 * line) % 5 END AS seg_id, (1 + line % 2)::INT AS seg_part,
   CASE WHEN h < 0 AND line % 5 <> 0 AND line % 7 = 0 THEN 'p' || line END AS page_id, CASE WHEN h < 0 AND line % 10 = 0 THEN 'prose' END AS lineation,
   h IN (4, 5) AS added, h IN (6, 7) AS deleted, h = 8 AS broken, CASE WHEN h BETWEEN 9 AND 12 THEN 'g' || line // 2 END AS vgroup, CASE WHEN (k - 1) % 2 = 0 THEN 'or ' || form ELSE '' END AS vreading,
   1 + line % 3 AS seq, CASE WHEN line % 2 = 0 THEN 'a' ELSE 'b' END AS hand, h = 0 AND line % 2 = 0 AS ellipsis FROM raw)"""
@@ -62,7 +62,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The runs: a start opens one, and so does the first token or object of all, if it is none.
 RUNS = f"""{ITEMS},
 real AS (SELECT doc_id, min(pos) AS first_real, arg_min(has_start, pos) AS opens FROM items WHERE kind <> 'break' GROUP BY doc_id),
-numbered AS (SELECT i.*, sum(CASE WHEN kind <> 'break' AND has_start THEN 1 ELSE 0 END) OVER (PARTITION BY i.doc_id ORDER BY pos) + CASE WHEN NOT opens AND pos >= first_real THEN 1 ELSE 0 END AS run FROM items i LEFT JOIN real r ON r.doc_id = i.doc_id),
+numbered AS (SELECT i.*, sum(CASE WHEN kind <> 'break' AND has_start THEN 1 ELSE 0 END) OVER (PARTITION BY i.doc_id ORDER BY pos)::BIGINT + CASE WHEN NOT opens AND pos >= first_real THEN 1 ELSE 0 END AS run FROM items i LEFT JOIN real r ON r.doc_id = i.doc_id),
 runs AS (SELECT doc_id, run, CASE WHEN bool_or(has_start AND kind <> 'break') THEN max(CASE WHEN has_start THEN seg_id END) END AS seg_id, CASE WHEN bool_or(has_start AND kind <> 'break') THEN max(CASE WHEN has_start THEN seg_part END) ELSE 1 END AS part, min(pos) AS "from", max(pos) + 1 AS "to" FROM numbered WHERE run > 0 GROUP BY doc_id, run)"""
 TOKEN_CHAIN = f"""{RUNS},
 nb AS (SELECT *, lag(kind = 'token' AND join_next) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM numbered WHERE kind <> 'break'),
@@ -125,7 +125,7 @@ def shown_breaks(spark, sf_dir):  # noqa: ANN001, ANN201
     return ops.shown_breaks(items(spark, sf_dir))
 
 
-LAYOUT = f"""WITH {ITEMS}, {PARAGRAPHS}, l AS (SELECT *, sum(CASE WHEN kind = 'break' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS line2 FROM kinds),
+LAYOUT = f"""WITH {ITEMS}, {PARAGRAPHS}, l AS (SELECT *, sum(CASE WHEN kind = 'break' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS line2 FROM kinds),
 g AS (SELECT doc_id, line2, arg_max(k2, pos) AS lineation, count(*) FILTER (WHERE kind <> 'break') AS n_items, bool_or(kind = 'break' AND type = 'paragraph') AS paragraph, max(CASE WHEN kind = 'break' THEN page_id END) AS page_id,
   arg_min('1.' || line, CASE WHEN kind <> 'break' AND has_start AND seg_id IS NOT NULL THEN pos END) FILTER (WHERE kind <> 'break' AND has_start AND seg_id IS NOT NULL) AS own FROM l GROUP BY doc_id, line2),
 o AS (SELECT *, count(own) OVER (PARTITION BY doc_id ORDER BY line2) AS nth FROM g),
