@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_of_id, narrow, shuffle_width, stored
+from .common import crc_of_id, narrow, release, shuffle_width, stored
 
 DEPTH = 4
 WIDTH = DEPTH + 1
@@ -57,9 +57,23 @@ def grams(text: bytes) -> np.ndarray:
     return out
 
 
-def numbers(keys: list[bytes]) -> np.ndarray:
-    pad = b"\0" * (8 - WIDTH)
-    return np.frombuffer(b"".join(pad + k for k in keys), ">u8").astype(np.int64)
+def binary(keys: np.ndarray) -> pa.Array:
+    """Byte strings of WIDTH from their numbers."""
+    data = np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :])
+    offsets = np.arange(0, WIDTH * (len(keys) + 1), WIDTH, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def numbers(keys: pa.ChunkedArray) -> np.ndarray:
+    """Numbers of byte strings of WIDTH, read from the column's own memory."""
+    out = np.zeros((len(keys), 8), np.uint8)
+    at = 0
+    for part in keys.chunks:
+        if len(part):
+            offsets = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1]
+            out[at : at + len(part), 8 - WIDTH :] = np.frombuffer(part.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, WIDTH)
+            at += len(part)
+    return out.view(">u8").ravel().astype(np.int64)
 
 
 def counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +100,7 @@ def counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         by_block: dict[int, list] = {}
         for block, held, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
@@ -103,13 +118,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     words.setdefault(END_WORD, 0)
             known = counted([t for h, t in docs if not h])
             other = np.setdiff1d(counted([t for h, t in docs if h])[0], known[0])
-            keys = np.concatenate([known[0], other]).astype(">u8").tobytes()
-            n = len(keys) // 8
+            keys = binary(np.concatenate([known[0], other]))
+            release()
+            n = len(keys)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(words) + n, block)),
                     pa.array(np.r_[np.ones(len(words), bool), np.zeros(n, bool)]),
-                    pa.array([*words, *(keys[i - WIDTH : i] for i in range(8, len(keys) + 1, 8))], pa.binary()),
+                    pa.concat_arrays([pa.array(list(words), pa.binary()), keys]),
                     pa.array(np.concatenate([np.fromiter(words.values(), np.int64, len(words)), known[1], np.zeros(len(other), np.int64)])),
                 ],
                 names=["block", "word", "key", "n"],
@@ -197,11 +213,12 @@ class UpperTree:
         return self.share0[r] * self.p0[r] + (1 - self.share0[r]) * p
 
 
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> tuple[Subtrees | None, list[bytes]]:
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> tuple[Subtrees | None, pa.ChunkedArray | None]:
+    release()
     table = [b for b in batches if b.num_rows]
-    keys = [k for b in table for k in b.column(0).to_pylist()]
-    if not keys:
-        return None, keys
+    if not table:
+        return None, None
+    keys = pa.chunked_array([b.column(0) for b in table])
     n = np.concatenate([b.column(1).to_numpy() for b in table]).astype(float)
     return Subtrees(numbers(keys), n), keys
 
@@ -210,13 +227,20 @@ def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tree, _ = _subtrees(batches)
     if tree:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in tree.top()], names=["id", "zeros", "ones", "below"])
+        del tree
+        release()
 
 
 def _log10(upper):  # noqa: ANN001
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, keys = _subtrees(batches)
         if tree:
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(tree.log10(upper.value))], names=["key", "value"])
+            values, at = tree.log10(upper.value), 0
+            for part in keys.chunks:
+                yield pa.RecordBatch.from_arrays([part, pa.array(values[at : at + len(part)])], names=["key", "value"])
+                at += len(part)
+            del tree, keys, values
+            release()
 
     return run
 
@@ -233,10 +257,12 @@ def context_tree(totals: DataFrame) -> DataFrame:
 
 
 def _score(docs: pa.Table, values: pa.Table) -> pa.Table:
+    release()  # what the block before has left
     is_word = np.asarray(values.column("word").to_numpy(), bool)
-    keys, value = values.column("key").to_pylist(), values.column("value").to_numpy()
-    count = {k: int(v) for k, v, w in zip(keys, value, is_word, strict=True) if w}
-    known = numbers([k for k, w in zip(keys, is_word, strict=True) if not w]).astype(np.uint64)
+    value = values.column("value").to_numpy()
+    words, strings = values.column("key").filter(pa.array(is_word)), values.column("key").filter(pa.array(~is_word))
+    count = dict(zip(words.to_pylist(), value[is_word].astype(np.int64).tolist(), strict=True))
+    known = numbers(strings).astype(np.uint64)
     order = np.argsort(known)
     known, log10 = known[order], value[~is_word][order]
     rows = []
@@ -245,6 +271,8 @@ def _score(docs: pa.Table, values: pa.Table) -> pa.Table:
         c = np.array([*map(count.__getitem__, low.split()), count[END_WORD]], np.int64)
         rows.append((doc_id, held, len(c), int(np.count_nonzero(c)), float(np.log10(c + 1.0).sum()), float(log10[np.searchsorted(known, grams(low))].sum())))
     kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    del count, words, strings, known, log10
+    release()
     names = ["doc_id", "held_out", "n_tokens", "n_known", "log_counts", "score"]
     return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=names)
 
