@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vellum.llm import bpe, exact_dedup, language_id, license_scan, lm_scoring, near_dedup, packing, quality_rules, sharding, substring_dedup
+from vellum.llm import bpe, collocations, exact_dedup, language_id, license_scan, lm_scoring, near_dedup, packing, perfect_hash, quality_rules, resampling, secret_scan, sharding, substring_dedup
 from vellum.llm.suffix_array import common_prefixes, suffix_array
 
 from .helpers import documents, odd_texts
@@ -60,6 +60,9 @@ EMPTY = {
     "op8": license_scan.license_scan,
     "op9": lambda d: packing.pack(d, PATH),
     "op10": substring_dedup.substring_dedup,
+    "op11": lambda d: collocations.collocations(d, support=2),
+    "op12": secret_scan.secret_scan,
+    "op13": lambda d: resampling.resample(d, d.select("text").limit(2), range_rows=4),
 }
 
 
@@ -77,6 +80,10 @@ def test_null_ids_and_repeated_rows(spark, name):
     once = documents(spark, ODD)
     rows = once.unionByName(once).unionByName(once.withColumn("doc_id", F.lit(None).cast("long")))
     found = EMPTY[name](rows).collect()
+    if name == "op11":
+        again = EMPTY[name](rows.withColumn("doc_id", F.lit(1))).collect()
+        assert sorted(found) == sorted(again) and all(r["a"] % 3 == 0 for r in found) and found
+        return
     if name == "op9":
         docs = {(r["doc_id"], r["doc_tokens"]): 0 for r in found}
         assert sum(r["length"] for r in found if r["doc_id"] is None) * 2 == sum(r["length"] for r in found if r["doc_id"] is not None) and docs
@@ -85,6 +92,11 @@ def test_null_ids_and_repeated_rows(spark, name):
     if name == "op6":
         assert len({(r["shard"], r["slot"]) for r in found}) == len(found) and sum(r["doc_id"] is None for r in found) == len(ODD)
         return
+    if name == "op13":
+        ranks = sorted(r["rank"] for r in found if r["rank"] is not None)
+        assert ranks == list(range(1, 25 * 6 // 100 + 1))
+        assert len({(r["doc_id"], r["n_features"], r["weight"], r["score"]) for r in found}) == 2 * len(ODD) - 2
+        return
     own = {}
     for r in found:
         if r["doc_id"] is not None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, license_scan, lm_scoring, near_dedup, packing, quality_rules, sharding, substring_dedup
+from . import collocations, exact_dedup, language_id, license_scan, lm_scoring, near_dedup, packing, quality_rules, resampling, secret_scan, sharding, substring_dedup
 from .bpe import bpe_round_trip
 from .common import documents
 
@@ -54,7 +54,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_bpe, op4_lm_scoring, op5_quality_rules, op6_sharding, op7_near_dedup, op8_license_scan, op9_packing, op10_substring_dedup)}
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(documents(spark, sf_dir))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_bpe, op4_lm_scoring, op5_quality_rules, op6_sharding, op7_near_dedup, op8_license_scan, op9_packing, op10_substring_dedup, op11_phrase_collocations, op12_secret_scan, op13_importance_resampling)}
 
 #: What SQL can express; the others are tested against brute force, the tokenizers library or held-out accuracy.
-SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE}
+SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op11_phrase_collocations": collocations.ORACLE, "op13_importance_resampling": resampling.ORACLE}
