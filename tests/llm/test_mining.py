@@ -63,7 +63,7 @@ def test_collocations_against_counting(spark):
     words = "un deux Quatre été 日本 😀 a.b x\x1cy \x00".split(" ")
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 120))) + rng.choice([".", "\n", "\t;", ""]) for _ in range(60)]
     texts += [None, "", "one two three four five six " * 40, " . , ;", "Same\tline\n" * 30]
-    langs = [rng.choice(["fr", "xx"]) for _ in texts]
+    langs = [rng.choice(["fr", "deux", "un"]) for _ in texts]  # names of languages that are words
     rows = documents(spark, texts, dict(enumerate(langs))).repartition(5)
     for top, limits in ((2000, {}), (7, {"round_slots": 1000, "shard_slots": 300, "bins": 64})):
         got = sorted(map(tuple, collocations.collocations(rows, support=8, top=top, **limits).collect()))

@@ -69,6 +69,11 @@ def hash_of(data: bytes, seed: int) -> int:
     return xxhash.xxh64_intdigest(data, seed)
 
 
+def hash_of_lang(lang: str, seed: int) -> int:
+    """Of another family than the words', since a language's name may be a word, too."""
+    return hash_of(lang.encode("utf-8", "surrogatepass"), seed + (1 << 32))
+
+
 class Vocabulary(dict):
     """Word to its number in this task; hashes by number. The break is number 0."""
 
@@ -189,7 +194,7 @@ def word_bins(words: DataFrame, seed: int, bins: int, support: int) -> np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(bins, np.min_scalar_type(support))
         for b in batches:
-            lang = np.array([hash_of(x.encode(), seed) for x in b.column("lang").to_pylist()], U)
+            lang = np.array([hash_of_lang(x, seed) for x in b.column("lang").to_pylist()], U)
             h = chained(lang, [b.column("h").to_numpy().view(U)])[0]
             found[h % U(bins)] = support
         yield from pieces_of(found, np.min_scalar_type(support))
@@ -200,7 +205,7 @@ def word_bins(words: DataFrame, seed: int, bins: int, support: int) -> np.ndarra
 def windows(batch: pa.RecordBatch, seed: int) -> Iterator[tuple[int, np.ndarray, int]]:
     """Language hash, ids (with what follows the block) and the number of the block's own starts."""
     for lang, ids, own in zip(batch.column("lang").to_pylist(), batch.column("ids"), batch.column("own").to_pylist(), strict=True):
-        yield hash_of(lang.encode(), seed), np.frombuffer(ids.as_buffer(), "<u8"), own
+        yield hash_of_lang(lang, seed), np.frombuffer(ids.as_buffer(), "<u8"), own
 
 
 def safe_starts(lang: int, ids: np.ndarray, own: int, heavy: np.ndarray, bins: int, longest: int, words_only: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -426,7 +431,7 @@ def mined(docs: DataFrame, seed: int, support: int, longest: int, round_slots: i
     read = stored(encoded(docs, seed, longest), "encoded")
     words = stored(read.where("word IS NOT NULL").groupBy("lang", "word", "h").agg(F.sum("n").alias("n")), "words")
     blocks = read.where("ids IS NOT NULL").select("lang", "ids", "own")
-    totals = stored(words.groupBy("lang").agg(F.sum("n").alias("n")).withColumn("lh", F.udf(lambda x: int(np.array([hash_of(x.encode(), seed)], U).view(np.int64)[0]), "long")("lang")), "totals")
+    totals = stored(words.groupBy("lang").agg(F.sum("n").alias("n")).withColumn("lh", F.udf(lambda x: int(np.array([hash_of_lang(x, seed)], U).view(np.int64)[0]), "long")("lang")), "totals")
     if not (_distinct_hashes(words, "h", "word") and words.where("h = 0").isEmpty() and _distinct_hashes(totals, "lh", "lang")):
         return None
     size = totals.agg(F.sum("n")).first()[0] or 0
