@@ -50,7 +50,7 @@ BLOCK = 1 << 16
 FLUSH = 1 << 20
 #: Bytes of a text that are split into words at a time.
 SLICE = 1 << 20
-KNOWN = 1 << 19
+KNOWN = 1 << 18
 BINS_LEAST, BINS_MOST = 1 << 16, 1 << 21
 SHARD_SLOTS = 1 << 14
 ROUND_SLOTS = 1 << 20
@@ -236,18 +236,24 @@ def phrase_bins(blocks: DataFrame, seed: int, heavy: list[np.ndarray], bins: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = [np.unpackbits(shared.value, count=bins).view(bool)]
-        total, held, size = np.zeros((longest - 1) * bins, np.uint32), [], 0
+        total = np.zeros((longest - 1, bins), np.uint32)
+        held: list[list[np.ndarray]] = [[] for _ in total]
+
+        def add(k: int) -> None:
+            if held[k]:
+                total[k] += np.bincount(np.concatenate(held[k]), minlength=bins).astype(np.uint32)
+                held[k].clear()
+
         for b in batches:
             for lang, ids, own in windows(b, seed):
                 for length, at, hashes in safe_starts(lang, ids, own, words, bins, longest, words_only=True):
                     if length > 1:
-                        held.append((hashes[at] % U(bins)).astype(np.int64) + (length - 2) * bins)
-                        size += len(at)
-                if size > len(total):
-                    total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
-                    held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
+                        held[length - 2].append((hashes[at] % U(bins)).astype(np.int32))
+                        if sum(map(len, held[length - 2])) > bins:
+                            add(length - 2)
+        for k in range(longest - 1):
+            add(k)
+        total = total.reshape(-1)
         yield from pieces_of(total, np.min_scalar_type(support), support)
 
     shared = blocks.sparkSession.sparkContext.broadcast(np.packbits(heavy[0]))
