@@ -31,6 +31,7 @@ order; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -59,6 +60,8 @@ PIECE = 1 << 16
 FAN = 16
 #: Languages whose totals are broadcast; with more they are joined by shuffle.
 LANGS = 1 << 14
+#: Rows of blocks or of shards (some 0.5 MB each) that Spark hands to Python at once.
+BATCH_ROWS = 32
 U = np.uint64
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: A-Z to a-z, every break to a full stop, tab to space.
@@ -431,6 +434,18 @@ def _distinct_hashes(frame: DataFrame, h: str, *of: str) -> bool:
     return frame.select(h, *of).distinct().groupBy(h).count().where("count > 1").isEmpty()
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within this, jobs hand at most so many rows to Python at once: by default it is 10,000, however large they are."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def mined(docs: DataFrame, seed: int, support: int, longest: int, round_slots: int, shard_slots: int, bins: int | None) -> tuple[DataFrame, DataFrame] | None:
     """Scored phrases and the words with their hashes; None if two different things share a hash under this seed."""
     spark: SparkSession = docs.sparkSession
@@ -445,7 +460,14 @@ def mined(docs: DataFrame, seed: int, support: int, longest: int, round_slots: i
     # every mapper makes a whole array, so there are no more of them than there is counting for
     blocks = blocks.coalesce(max(2 * spark.sparkContext.defaultParallelism, size // (8 * bins)))
     heavy = [word_bins(words, seed, bins, support)]
-    heavy += phrase_bins(blocks, seed, heavy, bins, support, longest)
+    with batches_of(spark, BATCH_ROWS):
+        return counted_and_cut(blocks, words, totals, heavy, seed, support, longest, round_slots, shard_slots, bins)
+
+
+def counted_and_cut(blocks: DataFrame, words: DataFrame, totals: DataFrame, heavy: list[np.ndarray], seed: int, support: int, longest: int, round_slots: int, shard_slots: int, bins: int) -> tuple[DataFrame, DataFrame] | None:
+    """The passes over the blocks, and the cuts."""
+    spark = blocks.sparkSession
+    heavy = heavy + phrase_bins(blocks, seed, heavy, bins, support, longest)
     found = stored(candidates(blocks, seed, heavy, bins, longest), "candidates")
     if not _distinct_hashes(found, "h", "key"):
         return None
