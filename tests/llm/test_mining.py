@@ -65,7 +65,7 @@ def test_collocations_against_counting(spark):
     texts += [None, "", "one two three four five six " * 40, " . , ;", "Same\tline\n" * 30]
     langs = [rng.choice(["fr", "deux", "un"]) for _ in texts]  # names of languages that are words
     rows = documents(spark, texts, dict(enumerate(langs))).repartition(5)
-    for top, limits in ((2000, {}), (7, {"round_slots": 1000, "shard_slots": 300, "bins": 64})):
+    for top, limits in ((2000, {}), (7, {"round_slots": 1000, "shard_slots": 300, "bits": 64})):
         got = sorted(map(tuple, collocations.collocations(rows, support=8, top=top, **limits).collect()))
         assert got == mined(texts, langs, 8, top=top)
 

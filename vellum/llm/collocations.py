@@ -4,20 +4,20 @@
    a task writes its hashes in blocks by language, and its word counts. That no two
    words of the corpus share a hash is checked, with another seed if they did, so
    from here on hashes stand for words exactly.
-2. Mappers count hashed phrases of two to five words that have only frequent words,
-   in arrays of fixed length; the arrays are summed along a tree. A bin below the
-   support holds no frequent phrase. (Counts stop at the support, so a byte is
-   enough.)
-3. Candidates are the frequent words and the phrases whose own bin and those of all
-   phrases within reach the support: nothing frequent is lost. They are dealt to
-   shards, and each shard's task builds its minimal perfect hash and lays the keys
-   out by slot.
+2. Words that reach the support, then pairs of such words, then longer phrases of
+   such pairs: each step counts 64-bit hashes of phrases (summed in the task, then
+   by hash), and those that reach the support become a bitmap of fixed length that
+   the next steps read. Hashes that meet, in a phrase's or in the bitmap, only let
+   more through.
+3. Candidates are the words and phrases whose own bit and those of all phrases
+   within are set: nothing frequent is lost. They are dealt to shards, and each
+   shard's task builds its minimal perfect hash and lays the keys out by slot.
 4. Mappers look every phrase up, compare the key stored at its slot, and count
    slots in numpy arrays, which are summed along a tree.
 5. The counts of a phrase's two parts at each cut are read by slot; scores are
    Python integers.
 
-What mappers hold is bounded: BINS_MOST bins, and the functions, keys and counts of
+What mappers hold is bounded: LONGEST bitmaps of BITS bits, and the functions, keys and counts of
 at most ROUND_SLOTS candidates. More candidates are counted in further rounds, each
 over all blocks. Only these bounded tables go through the driver; blocks,
 candidates, counts and phrases stay Spark tables.
@@ -52,7 +52,9 @@ FLUSH = 1 << 20
 #: Bytes of a text that are split into words at a time.
 SLICE = 1 << 20
 KNOWN = 1 << 18
-BINS_LEAST, BINS_MOST = 1 << 16, 1 << 21
+BITS = 1 << 22
+#: Hashes of phrases that a task holds before it sums them up.
+HELD = 1 << 21
 SHARD_SLOTS = 1 << 14
 ROUND_SLOTS = 1 << 20
 #: Entries of an array that are summed as one row, and arrays that one task sums.
@@ -146,63 +148,51 @@ def chained(lang: np.ndarray | int, ids: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def summed(arrays: DataFrame, most: int | None = None) -> DataFrame:
-    """piece, data: the sums of int64 arrays (maker, piece, data), FAN to a task at a time, until one is left; `most` bounds every entry, which then takes as few bytes as that needs."""
-    kind = np.int64 if most is None else np.min_scalar_type(most)
+ARRAYS = "maker long, piece long, data binary"
+
+
+def summed(arrays: DataFrame, kind: type = np.int64, add: np.ufunc = np.add) -> DataFrame:
+    """piece, data: arrays (maker, piece, data) added up piece by piece along a tree, FAN to a task at a time, until one is left."""
 
-    def add(table: pa.Table) -> pa.Table:
-        total = reduce(np.add, (np.frombuffer(x.as_buffer(), kind).astype(np.int64) for x in table["data"]))
-        total = total if most is None else np.minimum(total, most)
-        return pa.table({"maker": table["next"][:1], "piece": table["piece"][:1], "data": [total.astype(kind).tobytes()]}, schema=schema)
+    def total(table: pa.Table) -> pa.Table:
+        data = reduce(add, (np.frombuffer(x.as_buffer(), kind) for x in table["data"]))
+        return pa.table({"maker": table["next"][:1], "piece": table["piece"][:1], "data": [data.tobytes()]}, schema=schema)
 
     schema = pa.schema([("maker", pa.int64()), ("piece", pa.int64()), ("data", pa.binary())])
     makers = arrays.rdd.getNumPartitions()
     while makers > 1:
-        arrays = arrays.withColumn("next", F.expr(f"maker div {FAN}")).groupBy("piece", "next").applyInArrow(add, ARRAYS)
+        arrays = arrays.withColumn("next", F.expr(f"maker div {FAN}")).groupBy("piece", "next").applyInArrow(total, ARRAYS)
         makers = -(-makers // FAN)
     return arrays.select("piece", "data")
 
 
-def heavy_bits(pieces: DataFrame, entries: int, support: int) -> np.ndarray:
-    """The bins that reach the support, as bits; entries is bounded by BINS_MOST for each length of phrase."""
-    out = np.zeros(entries, bool)
+def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Which of so many bits (packed) the hashes h set; their number is fixed, so this comes to the driver."""
 
-    def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(bits, bool)
         for b in batches:
-            bits = [np.packbits(np.frombuffer(x.as_buffer(), np.min_scalar_type(support)) >= support).tobytes() for x in b.column("data")]
-            yield pa.RecordBatch.from_arrays([b.column("piece"), pa.array(bits, pa.binary())], names=["piece", "bits"])
-
-    for piece, bits in pieces.mapInArrow(flags, "piece long, bits binary").collect():
-        found = np.unpackbits(np.frombuffer(bits, np.uint8))[: min(PIECE, entries - piece * PIECE)]
-        out[piece * PIECE : piece * PIECE + len(found)] = found
+            found[b.column("h").to_numpy().view(U) % U(bits)] = True
+        data, maker = np.packbits(found), TaskContext.get().partitionId()
+        for k in range(0, len(data), PIECE):
+            if data[k : k + PIECE].any():
+                yield pa.RecordBatch.from_arrays([pa.array([maker]), pa.array([k // PIECE]), pa.array([data[k : k + PIECE].tobytes()], pa.binary())], names=["maker", "piece", "data"])
+
+    out = np.zeros(-(-bits // 8), np.uint8)
+    for piece, data in summed(hashes.select("h").mapInArrow(run, ARRAYS), np.uint8, np.bitwise_or).collect():
+        out[piece * PIECE : piece * PIECE + len(data)] = np.frombuffer(data, np.uint8)
     return out
 
 
-def pieces_of(array: np.ndarray, kind: type, most: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Rows (maker, piece, data) of what is not all zero."""
-    maker = TaskContext.get().partitionId()
-    for k in range(0, len(array), PIECE):
-        part = array[k : k + PIECE]
-        if part.any():
-            data = (part if most is None else np.minimum(part, most)).astype(kind).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([maker]), pa.array([k // PIECE]), pa.array([data], pa.binary())], names=["maker", "piece", "data"])
-
-
-ARRAYS = "maker long, piece long, data binary"
-
-
-def word_bins(words: DataFrame, seed: int, bins: int, support: int) -> np.ndarray:
-    """Bits of the bins of frequent words."""
+def word_hashes(words: DataFrame, seed: int, support: int) -> DataFrame:
+    """h of the words (lang, h) that reach the support, as phrases of one word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(bins, np.min_scalar_type(support))
         for b in batches:
             lang = np.array([hash_of_lang(x, seed) for x in b.column("lang").to_pylist()], U)
-            h = chained(lang, [b.column("h").to_numpy().view(U)])[0]
-            found[h % U(bins)] = support
-        yield from pieces_of(found, np.min_scalar_type(support))
+            yield pa.RecordBatch.from_arrays([pa.array(chained(lang, [b.column("h").to_numpy().view(U)])[0].view(np.int64))], names=["h"])
 
-    return heavy_bits(summed(words.where(F.col("n") >= support).select("lang", "h").mapInArrow(run, ARRAYS), support), bins, support)
+    return words.where(F.col("n") >= support).select("lang", "h").mapInArrow(run, "h long")
 
 
 def windows(batch: pa.RecordBatch, seed: int) -> Iterator[tuple[int, np.ndarray, int]]:
@@ -211,11 +201,10 @@ def windows(batch: pa.RecordBatch, seed: int) -> Iterator[tuple[int, np.ndarray,
         yield hash_of_lang(lang, seed), np.frombuffer(ids.as_buffer(), "<u8"), own
 
 
-def safe_starts(lang: int, ids: np.ndarray, own: int, heavy: np.ndarray, bins: int, longest: int, words_only: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, starts, hashes) of the phrases that can be frequent: all their words are (words_only), or their own bin and those of all within."""
-    first = chained(U(lang), [ids])[0]
-    frequent = (ids != 0) & heavy[0][first % U(bins)]
-    whole, hashes = frequent, first
+def safe_starts(lang: int, ids: np.ndarray, own: int, heavy: list[np.ndarray], bits: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, starts, hashes) of the phrases that can be frequent: their own bit and those of all phrases within are set, as far as there are bitmaps."""
+    hashes = chained(U(lang), [ids])[0]
+    whole = (ids != 0) & heavy[0][hashes % U(bits)]
     yield 1, np.flatnonzero(whole[:own]), hashes
     for k in range(1, longest):
         n = len(ids) - k
@@ -224,56 +213,64 @@ def safe_starts(lang: int, ids: np.ndarray, own: int, heavy: np.ndarray, bins: i
         with np.errstate(over="ignore"):
             hashes = mixed((hashes[:n] ^ ids[k:]) * U(0xD6E8FEB86659FD93), k + 1)
         # whole[i] speaks of the words from i on; its next is the phrase without the first word
-        whole = whole[:n] & (frequent[k:] if words_only else whole[1 : n + 1])
-        at = np.flatnonzero(whole)
-        if not words_only:
-            good = heavy[k][hashes[at] % U(bins)]
+        whole = whole[:n] & whole[1 : n + 1]
+        if k < len(heavy):
+            at = np.flatnonzero(whole)
+            at = at[heavy[k][hashes[at] % U(bits)]]
             whole = np.zeros(n, bool)
-            at = at[good]
             whole[at] = True
+        at = np.flatnonzero(whole)
         yield k + 1, at[at < own], hashes
 
 
-def phrase_bins(blocks: DataFrame, seed: int, heavy: list[np.ndarray], bins: int, support: int, longest: int) -> list[np.ndarray]:
-    """Bits of the bins of phrases of 2 to `longest` words."""
+def unpacked(maps: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    return [np.unpackbits(x, count=bits).view(bool) for x in maps]
+
+
+def frequent_hashes(blocks: DataFrame, seed: int, maps: list[np.ndarray], bits: int, longest: int, support: int) -> list[np.ndarray]:
+    """Bitmaps of the phrases of more words than the last of maps, up to `longest`, whose hashes reach the support."""
+    done = len(maps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = [np.unpackbits(shared.value, count=bins).view(bool)]
-        total = np.zeros((longest - 1, bins), np.uint32)
-        held: list[list[np.ndarray]] = [[] for _ in total]
+        heavy = unpacked(shared.value, bits)
+        held: dict[int, list[np.ndarray]] = {}
+        size = 0
 
-        def add(k: int) -> None:
-            if held[k]:
-                total[k] += np.bincount(np.concatenate(held[k]), minlength=bins).astype(np.uint32)
-                held[k].clear()
+        def write() -> Iterator[pa.RecordBatch]:
+            for length, parts in held.items():
+                h, n = np.unique(np.concatenate(parts), return_counts=True)
+                for k in range(0, len(h), 1 << 16):
+                    some = slice(k, k + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h[some]), length)), pa.array(h[some].view(np.int64)), pa.array(n[some])], names=["length", "h", "n"])
+            held.clear()
 
         for b in batches:
             for lang, ids, own in windows(b, seed):
-                for length, at, hashes in safe_starts(lang, ids, own, words, bins, longest, words_only=True):
-                    if length > 1:
-                        held[length - 2].append((hashes[at] % U(bins)).astype(np.int32))
-                        if sum(map(len, held[length - 2])) > bins:
-                            add(length - 2)
-        for k in range(longest - 1):
-            add(k)
-        total = total.reshape(-1)
-        yield from pieces_of(total, np.min_scalar_type(support), support)
-
-    shared = blocks.sparkSession.sparkContext.broadcast(np.packbits(heavy[0]))
-    found = heavy_bits(summed(blocks.mapInArrow(run, ARRAYS), support), (longest - 1) * bins, support)
-    return list(found.reshape(longest - 1, bins))
-
-
-def candidates(blocks: DataFrame, seed: int, heavy: list[np.ndarray], bins: int, longest: int) -> DataFrame:
+                for length, at, hashes in safe_starts(lang, ids, own, heavy, bits, longest):
+                    if length > done:
+                        held.setdefault(length, []).append(hashes[at])
+                        size += len(at)
+                if size > HELD:
+                    yield from write()
+                    size = 0
+        yield from write()
+
+    shared = blocks.sparkSession.sparkContext.broadcast(maps)
+    found = blocks.mapInArrow(run, "length long, h long, n long").groupBy("length", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
+    found = stored(found.select("length", "h"), "frequent")
+    return [bitmap(found.where(F.col("length") == k), bits) for k in range(done + 1, longest + 1)]
+
+
+def candidates(blocks: DataFrame, seed: int, maps: list[np.ndarray], bits: int, longest: int) -> DataFrame:
     """h, key: the hash and the words' hashes (after the language's) of every phrase or word that can be frequent, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = [np.unpackbits(x, count=bins).view(bool) for x in shared.value]
+        heavy = unpacked(shared.value, bits)
         seen: set[int] = set()
         for b in batches:
             hs, keys = [], []
             for lang, ids, own in windows(b, seed):
-                for length, at, hashes in safe_starts(lang, ids, own, bits, bins, longest):
+                for length, at, hashes in safe_starts(lang, ids, own, heavy, bits, longest):
                     _, first, which = np.unique(hashes[at], return_index=True, return_inverse=True)
                     rows = np.stack([ids[at + k] for k in range(length)], axis=1)
                     other = np.flatnonzero((rows != rows[first][which]).any(axis=1))  # another phrase with the same hash
@@ -287,7 +284,7 @@ def candidates(blocks: DataFrame, seed: int, heavy: list[np.ndarray], bins: int,
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(np.array(hs, U).view(np.int64)), pa.array(keys, pa.binary())], names=["h", "key"])
 
-    shared = blocks.sparkSession.sparkContext.broadcast([np.packbits(x) for x in heavy])
+    shared = blocks.sparkSession.sparkContext.broadcast(maps)
     return blocks.mapInArrow(run, "h long, key binary").distinct()
 
 
@@ -340,15 +337,15 @@ class Round:
         return out
 
 
-def counted(blocks: DataFrame, shared, seed: int, heavy_shared, bins: int, longest: int) -> DataFrame:  # noqa: ANN001
+def counted(blocks: DataFrame, shared, seed: int, maps, bits: int, longest: int) -> DataFrame:  # noqa: ANN001
     """shard, data: occurrences by slot of the round's candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, this = [np.unpackbits(x, count=bins).view(bool) for x in heavy_shared.value], shared.value
+        heavy, this = unpacked(maps.value, bits), shared.value
         total, held, size = np.zeros(this.function.size, np.int64), [], 0
         for b in batches:
             for lang, ids, own in windows(b, seed):
-                for length, at, hashes in safe_starts(lang, ids, own, bits, bins, longest):
+                for length, at, hashes in safe_starts(lang, ids, own, heavy, bits, longest):
                     found = this.slots(hashes[at], [np.full(len(at), lang, U), *(ids[at + k] for k in range(length))])
                     held.append(found[found >= 0])
                     size += len(held[-1])
@@ -446,7 +443,7 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def mined(docs: DataFrame, seed: int, support: int, longest: int, round_slots: int, shard_slots: int, bins: int | None) -> tuple[DataFrame, DataFrame] | None:
+def mined(docs: DataFrame, seed: int, support: int, longest: int, round_slots: int, shard_slots: int, bits: int) -> tuple[DataFrame, DataFrame] | None:
     """Scored phrases and the words with their hashes; None if two different things share a hash under this seed."""
     spark: SparkSession = docs.sparkSession
     read = stored(encoded(docs, seed, longest), "encoded")
@@ -456,32 +453,32 @@ def mined(docs: DataFrame, seed: int, support: int, longest: int, round_slots: i
     if not (_distinct_hashes(words, "h", "word") and words.where("h = 0").isEmpty() and _distinct_hashes(totals, "lh", "lang")):
         return None
     size = totals.agg(F.sum("n")).first()[0] or 0
-    bins = bins or min(BINS_MOST, max(BINS_LEAST, 1 << max(0, size // 32).bit_length()))
-    # every mapper makes a whole array, so there are no more of them than there is counting for
-    blocks = blocks.coalesce(max(2 * spark.sparkContext.defaultParallelism, size // (8 * bins)))
-    heavy = [word_bins(words, seed, bins, support)]
+    # every mapper makes a whole array of counts, so there are no more of them than there is counting for
+    blocks = blocks.coalesce(max(2 * spark.sparkContext.defaultParallelism, size // (16 * round_slots)))
+    maps = [bitmap(word_hashes(words, seed, support), bits)]
     with batches_of(spark, BATCH_ROWS):
-        return counted_and_cut(blocks, words, totals, heavy, seed, support, longest, round_slots, shard_slots, bins)
+        return counted_and_cut(blocks, words, totals, maps, seed, support, longest, round_slots, shard_slots, bits)
 
 
-def counted_and_cut(blocks: DataFrame, words: DataFrame, totals: DataFrame, heavy: list[np.ndarray], seed: int, support: int, longest: int, round_slots: int, shard_slots: int, bins: int) -> tuple[DataFrame, DataFrame] | None:
+def counted_and_cut(blocks: DataFrame, words: DataFrame, totals: DataFrame, maps: list[np.ndarray], seed: int, support: int, longest: int, round_slots: int, shard_slots: int, bits: int) -> tuple[DataFrame, DataFrame] | None:
     """The passes over the blocks, and the cuts."""
     spark = blocks.sparkSession
-    heavy = heavy + phrase_bins(blocks, seed, heavy, bins, support, longest)
-    found = stored(candidates(blocks, seed, heavy, bins, longest), "candidates")
+    for reach in sorted({min(2, longest), longest}):
+        maps = maps + frequent_hashes(blocks, seed, maps, bits, reach, support)
+    found = stored(candidates(blocks, seed, maps, bits, longest), "candidates")
     if not _distinct_hashes(found, "h", "key"):
         return None
     count = found.count()
     shards = max(1, -(-count // shard_slots))
     table = stored(shards_of(found, shards, longest), "shards")
     each = max(1, round_slots // shard_slots)
-    heavy_shared = spark.sparkContext.broadcast([np.packbits(x) for x in heavy])
+    maps_shared = spark.sparkContext.broadcast(maps)
     parts, rounds = [], []
     for k in range(0, shards, each):
         rows = table.where(F.col("shard").between(k, k + each - 1)).orderBy("shard").collect()  # at most round_slots candidates or so
         if rows:
             shared = spark.sparkContext.broadcast(Round(rows, shards, longest))
-            parts.append(stored(counted(blocks, shared, seed, heavy_shared, bins, longest), "counts"))
+            parts.append(stored(counted(blocks, shared, seed, maps_shared, bits, longest), "counts"))
             shared.unpersist()
             rounds.append((k, parts[-1]))
     if not parts:
@@ -498,10 +495,10 @@ def counted_and_cut(blocks: DataFrame, words: DataFrame, totals: DataFrame, heav
     return stored(scored(phrases.select("key", "lang", "length", "a", "l", "r", "n")), "scored"), words
 
 
-def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, top: int = TOP, round_slots: int = ROUND_SLOTS, shard_slots: int = SHARD_SLOTS, bins: int | None = None) -> DataFrame:
+def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, top: int = TOP, round_slots: int = ROUND_SLOTS, shard_slots: int = SHARD_SLOTS, bits: int = BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's `top` phrases."""
     seed = 0
-    while (found := mined(docs, seed, support, longest, round_slots, shard_slots, bins)) is None:
+    while (found := mined(docs, seed, support, longest, round_slots, shard_slots, bits)) is None:
         seed += 1
     phrases, words = found
     dropped = phrases.select(F.explode("within").alias("key")).distinct()
