@@ -47,7 +47,7 @@ SUPPORT = 100
 LONGEST = 5
 TOP = 2000
 #: Ids in one block of a language; ids, and words, that a task holds before it writes them.
-BLOCK = 1 << 16
+BLOCK = 1 << 11
 FLUSH = 1 << 20
 #: Bytes of a text that are split into words at a time.
 SLICE = 1 << 20
@@ -62,8 +62,8 @@ PIECE = 1 << 16
 FAN = 16
 #: Languages whose totals are broadcast; with more they are joined by shuffle.
 LANGS = 1 << 14
-#: Rows of blocks or of shards (some 0.5 MB each) that Spark hands to Python at once.
-BATCH_ROWS = 32
+#: Rows that Spark hands to Python at once: blocks (16 kB each; its Parquet reader takes 4,096 together), and shards (0.8 MB each).
+BLOCK_ROWS, SHARD_ROWS = 1024, 16
 U = np.uint64
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: A-Z to a-z, every break to a full stop, tab to space.
@@ -456,7 +456,7 @@ def mined(docs: DataFrame, seed: int, support: int, longest: int, round_slots: i
     # every mapper makes a whole array of counts, so there are no more of them than there is counting for
     blocks = blocks.coalesce(max(2 * spark.sparkContext.defaultParallelism, size // (16 * round_slots)))
     maps = [bitmap(word_hashes(words, seed, support), bits)]
-    with batches_of(spark, BATCH_ROWS):
+    with batches_of(spark, BLOCK_ROWS):
         return counted_and_cut(blocks, words, totals, maps, seed, support, longest, round_slots, shard_slots, bits)
 
 
@@ -483,7 +483,8 @@ def counted_and_cut(blocks: DataFrame, words: DataFrame, totals: DataFrame, maps
             rounds.append((k, parts[-1]))
     if not parts:
         return spark.createDataFrame([], SCORED), words
-    phrases = frequent_of(table, reduce(DataFrame.unionAll, parts), support, longest)
+    with batches_of(spark, SHARD_ROWS):
+        phrases = stored(frequent_of(table, reduce(DataFrame.unionAll, parts), support, longest), "phrases")
     empty = F.array_repeat(F.lit(0).cast("long"), (F.col("length") - 1).cast("int"))
     phrases = phrases.withColumns({"l": empty, "r": empty})
     for k, counts in rounds:
