@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from ..operators import items as ops, stream
+from ..operators import collate, collated, items as ops, stream
 from .queries import TOKENS, query, table
 
 ITEMS = rf"""{TOKENS},
@@ -229,3 +229,16 @@ def unchecked_tokens(spark, sf_dir):  # noqa: ANN001, ANN201
 SELECT doc_id, lang, n, first_at, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_at) AS rank FROM t""")
 def item_languages(spark, sf_dir):  # noqa: ANN001, ANN201
     return stream.languages_of(items(spark, sf_dir).where("kind = 'token'"), ["doc_id"], "lang", "pos")
+
+
+def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ed, doc_id, is_base: documents that begin with the same line are texts of one edition, the smallest its base."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2(F.substring_index(F.regexp_replace(F.coalesce("text", F.lit("")), "\r", "\n"), "\n", 1), 256), 1, 16).alias("ed"))
+    own = docs.groupBy("ed").agg(F.min("doc_id").alias("base"), F.count("*").alias("n")).where("n > 1")
+    return docs.join(own, "ed").select("ed", "doc_id", (F.col("doc_id") == F.col("base")).alias("is_base"))
+
+
+@query()
+def collate_passages(spark, sf_dir):  # noqa: ANN001, ANN201
+    read = collated.collate_passages(items(spark, sf_dir), editions(spark, sf_dir), {"original": {}})
+    return collate.apparatus(read)
