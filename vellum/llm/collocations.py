@@ -52,7 +52,7 @@ FLUSH = 1 << 20
 #: Bytes of a text that are split into words at a time.
 SLICE = 1 << 20
 KNOWN = 1 << 18
-BITS = 1 << 22
+BITS = 1 << 24
 #: Hashes of phrases that a task holds before it sums them up.
 HELD = 1 << 21
 SHARD_SLOTS = 1 << 14
@@ -63,7 +63,7 @@ FAN = 16
 #: Languages whose totals are broadcast; with more they are joined by shuffle.
 LANGS = 1 << 14
 #: Rows that Spark hands to Python at once: blocks (16 kB each; its Parquet reader takes 4,096 together), and shards (0.8 MB each).
-BLOCK_ROWS, SHARD_ROWS = 1024, 16
+BLOCK_ROWS, SHARD_ROWS = 256, 16
 U = np.uint64
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: A-Z to a-z, every break to a full stop, tab to space.
@@ -195,36 +195,40 @@ def word_hashes(words: DataFrame, seed: int, support: int) -> DataFrame:
     return words.where(F.col("n") >= support).select("lang", "h").mapInArrow(run, "h long")
 
 
-def windows(batch: pa.RecordBatch, seed: int) -> Iterator[tuple[int, np.ndarray, int]]:
-    """Language hash, ids (with what follows the block) and the number of the block's own starts."""
-    for lang, ids, own in zip(batch.column("lang").to_pylist(), batch.column("ids"), batch.column("own").to_pylist(), strict=True):
-        yield hash_of_lang(lang, seed), np.frombuffer(ids.as_buffer(), "<u8"), own
+def windows(batch: pa.RecordBatch, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Language hash, ids of all its blocks in the batch, and which places are a block's own (what follows a block is the next one's, too)."""
+    ids: dict[str, list[np.ndarray]] = {}
+    own: dict[str, list[np.ndarray]] = {}
+    end = np.zeros(1, U)
+    for lang, data, n in zip(batch.column("lang").to_pylist(), batch.column("ids"), batch.column("own").to_pylist(), strict=True):
+        block = np.frombuffer(data.as_buffer(), "<u8")
+        ids.setdefault(lang, []).extend((block, end))
+        own.setdefault(lang, []).append(np.arange(len(block) + 1) < n)
+    for lang, parts in ids.items():
+        yield hash_of_lang(lang, seed), np.concatenate(parts), np.concatenate(own[lang])
 
 
-def safe_starts(lang: int, ids: np.ndarray, own: int, heavy: list[np.ndarray], bits: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, starts, hashes) of the phrases that can be frequent: their own bit and those of all phrases within are set, as far as there are bitmaps."""
+def is_set(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    at = (hashes % U(bits)).astype(np.int64)
+    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def safe_starts(lang: int, ids: np.ndarray, own: np.ndarray, maps: list[np.ndarray], bits: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, starts, their hashes) of the phrases that can be frequent: their own bit and those of all phrases within are set, as far as there are bitmaps."""
     hashes = chained(U(lang), [ids])[0]
-    whole = (ids != 0) & heavy[0][hashes % U(bits)]
-    yield 1, np.flatnonzero(whole[:own]), hashes
+    at = np.flatnonzero((ids != 0) & is_set(maps[0], hashes, bits))
+    hashes = hashes[at]
+    yield 1, at[own[at]], hashes[own[at]]
     for k in range(1, longest):
-        n = len(ids) - k
-        if n <= 0:
-            return
+        # a phrase goes on where the phrase without its first word begins at the next place
+        on = np.flatnonzero(np.diff(at) == 1)
+        at, hashes = at[on], hashes[on]
         with np.errstate(over="ignore"):
-            hashes = mixed((hashes[:n] ^ ids[k:]) * U(0xD6E8FEB86659FD93), k + 1)
-        # whole[i] speaks of the words from i on; its next is the phrase without the first word
-        whole = whole[:n] & whole[1 : n + 1]
-        if k < len(heavy):
-            at = np.flatnonzero(whole)
-            at = at[heavy[k][hashes[at] % U(bits)]]
-            whole = np.zeros(n, bool)
-            whole[at] = True
-        at = np.flatnonzero(whole)
-        yield k + 1, at[at < own], hashes
-
-
-def unpacked(maps: list[np.ndarray], bits: int) -> list[np.ndarray]:
-    return [np.unpackbits(x, count=bits).view(bool) for x in maps]
+            hashes = mixed((hashes ^ ids[at + k]) * U(0xD6E8FEB86659FD93), k + 1)
+        if k < len(maps):
+            good = is_set(maps[k], hashes, bits)
+            at, hashes = at[good], hashes[good]
+        yield k + 1, at[own[at]], hashes[own[at]]
 
 
 def frequent_hashes(blocks: DataFrame, seed: int, maps: list[np.ndarray], bits: int, longest: int, support: int) -> list[np.ndarray]:
@@ -232,7 +236,6 @@ def frequent_hashes(blocks: DataFrame, seed: int, maps: list[np.ndarray], bits:
     done = len(maps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = unpacked(shared.value, bits)
         held: dict[int, list[np.ndarray]] = {}
         size = 0
 
@@ -246,9 +249,9 @@ def frequent_hashes(blocks: DataFrame, seed: int, maps: list[np.ndarray], bits:
 
         for b in batches:
             for lang, ids, own in windows(b, seed):
-                for length, at, hashes in safe_starts(lang, ids, own, heavy, bits, longest):
+                for length, at, hashes in safe_starts(lang, ids, own, shared.value, bits, longest):
                     if length > done:
-                        held.setdefault(length, []).append(hashes[at])
+                        held.setdefault(length, []).append(hashes)
                         size += len(at)
                 if size > HELD:
                     yield from write()
@@ -265,24 +268,38 @@ def candidates(blocks: DataFrame, seed: int, maps: list[np.ndarray], bits: int,
     """h, key: the hash and the words' hashes (after the language's) of every phrase or word that can be frequent, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = unpacked(shared.value, bits)
-        seen: set[int] = set()
+        held: dict[int, list[np.ndarray]] = {}
+        size = 0
+
+        def once(rows: np.ndarray) -> np.ndarray:
+            """Rows (hash, language, words), each once; of rows that only share a hash all stay."""
+            _, first, which = np.unique(rows[:, 0], return_index=True, return_inverse=True)
+            other = np.flatnonzero((rows != rows[first][which]).any(axis=1))
+            return rows[np.append(first, other)]
+
+        def write() -> Iterator[pa.RecordBatch]:
+            for length, parts in held.items():
+                rows = once(np.concatenate(parts))
+                for k in range(0, len(rows), 1 << 15):
+                    some = rows[k : k + (1 << 15)]
+                    data = pa.py_buffer(np.ascontiguousarray(some[:, 1:]).astype("<u8").tobytes())
+                    keys = pa.Array.from_buffers(pa.binary(8 * (length + 1)), len(some), [None, data]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(some[:, 0].view(np.int64)), keys], names=["h", "key"])
+            held.clear()
+
         for b in batches:
-            hs, keys = [], []
             for lang, ids, own in windows(b, seed):
-                for length, at, hashes in safe_starts(lang, ids, own, heavy, bits, longest):
-                    _, first, which = np.unique(hashes[at], return_index=True, return_inverse=True)
-                    rows = np.stack([ids[at + k] for k in range(length)], axis=1)
-                    other = np.flatnonzero((rows != rows[first][which]).any(axis=1))  # another phrase with the same hash
-                    for i in np.append(first, other).tolist():
-                        h = int(hashes[at[i]])
-                        if h not in seen or i in other:
-                            seen.add(h)
-                            hs.append(h)
-                            keys.append(np.append(U(lang), rows[i]).astype("<u8").tobytes())
-            if len(seen) > KNOWN:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(hs, U).view(np.int64)), pa.array(keys, pa.binary())], names=["h", "key"])
+                for length, at, hashes in safe_starts(lang, ids, own, shared.value, bits, longest):
+                    rows = once(np.stack([hashes, np.full(len(at), lang, U), *(ids[at + k] for k in range(length))], axis=1))
+                    held.setdefault(length, []).append(rows)
+                    size += len(rows)
+            if size > HELD // 4:
+                held.update({k: [once(np.concatenate(v))] for k, v in held.items()})
+                size = sum(len(v[0]) for v in held.values())
+                if size > HELD // 8:
+                    yield from write()
+                    size = 0
+        yield from write()
 
     shared = blocks.sparkSession.sparkContext.broadcast(maps)
     return blocks.mapInArrow(run, "h long, key binary").distinct()
@@ -341,12 +358,12 @@ def counted(blocks: DataFrame, shared, seed: int, maps, bits: int, longest: int)
     """shard, data: occurrences by slot of the round's candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, this = unpacked(maps.value, bits), shared.value
+        this = shared.value
         total, held, size = np.zeros(this.function.size, np.int64), [], 0
         for b in batches:
             for lang, ids, own in windows(b, seed):
-                for length, at, hashes in safe_starts(lang, ids, own, heavy, bits, longest):
-                    found = this.slots(hashes[at], [np.full(len(at), lang, U), *(ids[at + k] for k in range(length))])
+                for length, at, hashes in safe_starts(lang, ids, own, maps.value, bits, longest):
+                    found = this.slots(hashes, [np.full(len(at), lang, U), *(ids[at + k] for k in range(length))])
                     held.append(found[found >= 0])
                     size += len(held[-1])
                 if size > len(total):
