@@ -45,12 +45,16 @@ def _statements() -> list[tuple[str, bool]]:
 
 
 def normal_rights(value: Column | str) -> Column:
-    """The listed address of a rights statement, from one with the other protocol, without its slash or with deed or legalcode; else null."""
-    v = F.regexp_replace(_trim(_col(value)), "^http://creativecommons[.]org", "https://creativecommons.org")
-    v = F.regexp_replace(v, "^https://rightsstatements[.]org", "http://rightsstatements.org")
-    v = F.regexp_replace(F.regexp_replace(v, r"(?i)(deed|legalcode)(\.[a-z-]+)?$", ""), "/?$", "")
-    listed = F.create_map(*[F.lit(x) for uri, _ in _statements() for x in (uri.lower(), uri)])
-    return F.element_at(listed, F.concat(F.lower(v), F.lit("/")))
+    """The listed address of a rights statement, else null.
+
+    Looked up by host and path, so with either protocol, in any case, with or
+    without the last slash, and with a deed or legalcode page (of any language) under it.
+    """
+    parts = F.split(F.lower(_trim(_col(value))), "/")
+    page = F.coalesce(F.get(parts, F.lit(6)), F.lit(""))
+    well_formed = F.get(parts, F.lit(0)).isin("http:", "https:") & (F.get(parts, F.lit(1)) == "") & (F.size(parts) <= 7) & page.rlike(r"^((deed|legalcode)(\.[a-z-]+)?)?$")
+    listed = F.create_map(*[F.lit(x) for uri, _ in _statements() for x in ("/".join(uri.lower().split("/")[2:6]), uri)])
+    return F.when(well_formed, F.element_at(listed, F.array_join(F.slice(parts, 3, 4), "/")))
 
 
 def is_copyable(uri: Column | str) -> Column:

@@ -53,28 +53,62 @@ def address_key(levels: Sequence[Level], address: Column) -> Column:
     return sort_key(*(number_key(_value(address, x)) if x.kind == "number" else text_key(_value(address, x)) for x in levels))
 
 
-def label_pattern(levels: Sequence[Level]) -> str:
-    """Regular expression with one group a level: where a level runs straight into the next, it takes all of its own kind."""
-    first = {"number": r"\d", "text": r"[^\d]"}
-    out = ""
-    for i, level in enumerate(levels):
-        before, after = (level.separator if i else None), (levels[i + 1].separator if i + 1 < len(levels) else None)
-        out += re.escape(before or "")
-        if after == "":
-            out += f"({first[level.kind]}+)"
-        elif level.kind == "number" or before == "":
-            out += f"({first[level.kind]}.*?)"
-        else:
-            out += "(.+?)"
-    return f"(?s)^{out}$"
+def _own(level: Level) -> str:
+    return "[0-9]" if level.kind == "number" else "[^0-9]"
 
 
 def parse_label(levels: Sequence[Level], label: Column | str) -> Column:
-    """The address of a label as a map, or null where it is none of the scheme."""
+    """The address of a label as a map, or null where it is none of the scheme.
+
+    Read from the right, each level has the places from which it and all that
+    follow can be read; then, from the left, each level ends at its separator's
+    first place from which the rest can be read. A number begins with a digit;
+    where a level has no separator before it, the level above has all that is of
+    its own kind, so levels of one kind need one (see scheme_faults).
+    """
     text = F.regexp_replace(F.col(label) if isinstance(label, str) else label, r"(?U)^\s+|\s+$", "")
-    pattern = label_pattern(levels)
-    values = [F.btrim(F.regexp_extract(text, pattern, i + 1)) for i in range(len(levels))]
-    whole = text.rlike(pattern)
+    size = F.char_length(text)
+
+    def rest(at: Column) -> Column:
+        return F.substring(text, at, size)
+
+    def run(at: Column, level: Level) -> Column:
+        """How many characters from there are of the level's kind."""
+        return F.char_length(F.regexp_extract(rest(at), f"^{_own(level)}*", 0))
+
+    def begins(at: Column, i: int) -> Column:
+        free = levels[i].kind == "text" and (i == 0 or levels[i].separator != "")
+        return F.lit(True) if free else F.substring(text, at, F.lit(1)).rlike(_own(levels[i]))
+
+    # from the right: readable[i] are the places where level i may begin, ends[i] those where its separator to the next may stand
+    last = len(levels) - 1
+    places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+    readable: list[Column] = [F.filter(places, lambda p: begins(p, last))]
+    ends: list[Column | None] = [None]
+    for i in range(last - 1, -1, -1):
+        parted, following = levels[i + 1].separator, readable[0]
+        if parted:
+            ends.insert(0, F.filter(places, lambda p: (F.substring(text, p, F.lit(len(parted))) == parted) & F.array_contains(following, p + len(parted))))  # noqa: B023
+            after = F.array_max(ends[0])
+            readable.insert(0, F.filter(places, lambda p: (p < after) & begins(p, i)))  # noqa: B023
+        else:
+            ends.insert(0, None)
+            readable.insert(0, F.filter(places, lambda p: (run(p, levels[i]) > 0) & F.array_contains(following, p + run(p, levels[i]))))  # noqa: B023
+
+    at, found = F.lit(1), []
+    for i, level in enumerate(levels):
+        if i == last:
+            found.append(rest(at))
+        elif ends[i] is None:
+            found.append(F.substring(text, at, run(at, level)))
+            at = at + run(at, level)
+        else:
+            start = at
+            end = F.array_min(F.filter(ends[i], lambda p: p > start))  # noqa: B023
+            found.append(F.substring(text, at, end - at))
+            at = end + len(levels[i + 1].separator)
+    values = [F.btrim(v) for v in found]
+    whole = F.array_contains(readable[0], 1)
     for v in values:
         whole = whole & (v != "")
     return F.when(whole, F.create_map(*[x for level, v in zip(levels, values, strict=True) for x in (F.lit(level.key), v)]))

@@ -41,6 +41,11 @@ def _fold(text: str, bare: bool) -> str:
     return out.lower().replace("ς", "σ")
 
 
+def folded(text: str) -> str:
+    """Fold of a text that is given to a query and not read from a table."""
+    return _fold(text, False)
+
+
 #: Languages (fixed values) whose v and j are u and i, and whose points don't count.
 LATIN, BARE = ("la", "lat"), ("he", "heb", "ar", "ara")
 UV = str.maketrans("vj", "ui")

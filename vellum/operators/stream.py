@@ -6,12 +6,13 @@ by document serves all windows of a stream.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import fold_plain
+from ..functions.text import fold_plain, folded
 
 
 def ordered(keys: Sequence[str], order: Sequence[str]):  # noqa: ANN201
@@ -126,10 +127,16 @@ def phrase_hits(tokens: DataFrame, phrase: Sequence[str], keys: Sequence[str], o
 def search(docs: DataFrame, phrase: Sequence[str], doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, line, pos of the places where folded words of a document are those of the phrase, over line ends too.
 
+    The phrase is folded as the text is; words that fold to nothing are left out of it,
+    and a phrase without any finds nothing.
+
     A document is folded once as a whole; only one that holds the phrase's words
     one after the other is taken apart into words.
     """
-    run = r"(?U)(^|\s)" + r"\s+".join(phrase) + r"(\s|$)"
+    phrase = [w for x in phrase for w in folded(x).split()]
+    if not phrase:
+        return from_text(docs.limit(0), doc, text)
+    run = r"(?U)(^|\s)" + r"\s+".join(map(re.escape, phrase)) + r"(\s|$)"
     # punctuation between spaces leaves an empty word, which parts the words beside it
     whole = docs.where(F.concat(F.lit(" "), fold_plain(F.coalesce(F.col(text), F.lit("")))).rlike(run))
     words = from_text(whole, doc, text).withColumn("__w", fold_plain("form"))
