@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import apparatus, edits, history, order, passages, registry
+from ..operators import apparatus, edits, history, order, passages, registry, undo
 from ..streaming import keyed
 from .queries import query, table
 
@@ -367,3 +367,66 @@ def link_passages(spark, sf_dir):  # noqa: ANN001, ANN201
     """Two rounds of the SQL are enough for the links that these rows can have."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ed"), F.lit("t").alias("text_id"), (F.col("o_orderkey") % 3).alias("letters"), F.expr("o_orderkey div 60").alias("passage"), F.col("o_orderkey").alias("at"))
     return passages.link_words(rows.where("at % 2 = 0"), rows.where("at % 2 = 1")).select("ed", "m", "a", "distance")
+
+
+@query("""WITH RECURSIVE t AS (SELECT DISTINCT o_custkey AS doc_id, o_orderkey AS version, l_suppkey % 20 AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+r AS (SELECT doc_id, min(version) AS target, min(version) AS version FROM t GROUP BY doc_id
+UNION SELECT r.doc_id, r.target, b.version FROM r JOIN t a ON a.doc_id = r.doc_id AND a.version = r.version JOIN t b ON b.doc_id = r.doc_id AND b.id = a.id AND b.version > r.version)
+SELECT doc_id, target, version FROM r WHERE version <> target""")
+def undo_dependents(spark, sf_dir):  # noqa: ANN001, ANN201
+    """What depends on each document's first change, over several items."""
+    lines = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    touches = lines.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("version"), (F.col("l_suppkey") % 20).alias("id"))
+    return undo.dependents(touches, touches.groupBy("doc_id").agg(F.min("version").alias("target")))
+
+
+@query(f"""{LOG}, w AS (SELECT doc_id, max(version) AS n, 1 + doc_id::BIGINT % 4 AS target FROM o GROUP BY doc_id HAVING max(version) >= 1 + doc_id::BIGINT % 4),
+gone AS (SELECT doc_id, version - 1 AS version FROM p WHERE t = 'delete' AND before = 'insert'),
+s AS (SELECT p.doc_id, p.version AS r, o_orderkey FROM p ANTI JOIN gone g ON g.doc_id = p.doc_id AND g.version = p.version JOIN w ON w.doc_id = p.doc_id WHERE t = 'insert' AND p.version <> target
+UNION ALL SELECT p.doc_id, n + 1, o_orderkey FROM p JOIN w ON w.doc_id = p.doc_id WHERE target = 3 AND p.version = 2)
+SELECT w.doc_id, target, CASE WHEN target = 2 AND n > 2 THEN 'salvaged' ELSE 'clean' END AS outcome, CASE WHEN target = 2 AND n > 2 THEN 1 ELSE 0 END::BIGINT AS n_skipped, coalesce(string_agg(o_orderkey::VARCHAR, ' ' ORDER BY r DESC), '') AS ids
+FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id, target, n""")
+def undo_changes(spark, sf_dir):  # noqa: ANN001, ANN201
+    """One of the first four changes of each log is taken back: what was put in goes, what was taken out comes back, and what is gone already is skipped."""
+    log = _log(spark, sf_dir)
+    targets = log.groupBy("doc_id").agg(F.max("version").alias("n")).withColumn("target", 1 + F.col("doc_id").cast("long") % 4).where("target <= n")
+    found = undo.undone(log, targets.select("doc_id", "target"), force=True)
+    return found.select("doc_id", "target", "outcome", "n_skipped", F.array_join(F.transform(F.from_json("items", "array<struct<id:string>>"), lambda x: x["id"]), " ").alias("ids"))
+
+
+def _lines(spark, sf_dir):  # noqa: ANN001, ANN202
+    lines = F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != ""))
+    return table(spark, sf_dir, "documents").select("doc_id", lines.alias("base"))
+
+
+def _shown(found):  # noqa: ANN001, ANN202
+    return found.withColumn("reading", F.md5(F.array_join("reading", "\n"))).withColumn("after", F.md5("after")).select("grp", "place", "far", F.size("segments").cast("long").alias("n_segments"), "reading", "after", "is_base", "text", "n_texts")
+
+
+@query("""WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
+d AS (SELECT doc_id, [s[i] for i in generate_series(1, len(s)) if trim(s[i]) <> '' AND list_position(s, s[i]) = i] AS l FROM s),
+e AS (SELECT doc_id AS grp, l, len(l) AS n FROM d WHERE len(l) > 1),
+c AS (SELECT grp, n, l, [l[2], l[1]] || l[3:] AS b, [l[n]] || l[1:n-1] AS c, l[1:n-2] || [l[n], l[n-1]] AS d FROM e),
+v AS (
+SELECT grp, 0 AS place, false AS far, n AS n_segments, l AS reading, NULL AS after, true AS is_base, 'a' AS text, 1 AS n_texts FROM c WHERE n <= 8
+UNION ALL SELECT grp, 0, false, n, b, NULL, false, 'b', CASE WHEN n = 2 THEN 3 ELSE 1 END FROM c WHERE n <= 8
+UNION ALL SELECT grp, 0, false, n, c, NULL, false, 'c', 1 FROM c WHERE n BETWEEN 3 AND 8
+UNION ALL SELECT grp, 0, false, n, d, NULL, false, 'd', 1 FROM c WHERE n BETWEEN 3 AND 8
+UNION ALL SELECT grp, 0, false, 2, l[1:2], NULL, true, 'a', 3 FROM c WHERE n > 8
+UNION ALL SELECT grp, 0, false, 2, b[1:2], NULL, false, 'b', 1 FROM c WHERE n > 8
+UNION ALL SELECT grp, n - 2, false, 2, l[n-1:], NULL, true, 'a', 2 FROM c WHERE n > 8
+UNION ALL SELECT grp, n - 2, false, 2, d[n-1:], NULL, false, 'd', 1 FROM c WHERE n > 8
+UNION ALL SELECT grp, n - 1, true, 1, l[n:], l[n-1], true, 'a', 3 FROM c WHERE n > 8
+UNION ALL SELECT grp, n - 1, true, 1, l[n:], NULL, false, 'c', 1 FROM c WHERE n > 8)
+SELECT grp, place::BIGINT AS place, far, n_segments::BIGINT AS n_segments, md5(array_to_string(reading, chr(10))) AS reading, md5(after) AS after, is_base, text, n_texts::BIGINT AS n_texts FROM v""")
+def order_variants(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Each document against four orders of its lines: its own, the first two lines turned round, the last line first, the last two turned round."""
+    docs = _lines(spark, sf_dir).where(F.size("base") > 1).select(F.col("doc_id").alias("grp"), "base")
+    n, get = F.size("base"), lambda k: F.get("base", k)
+    two = F.array(get(F.lit(1)), get(F.lit(0)))
+    own = {
+        "a": F.col("base"), "b": F.concat(two, F.slice("base", F.lit(3), n)), "c": F.concat(F.array(get(n - 1)), F.slice("base", F.lit(1), n - 1)),
+        "d": F.concat(F.slice("base", F.lit(1), n - 2), F.array(get(n - 1), get(n - 2))),
+    }
+    orders = docs.select("grp", F.explode(F.array(*(F.struct(F.lit(k).alias("text"), c.alias("own")) for k, c in own.items()))).alias("o")).select("grp", "o.text", "o.own")
+    return _shown(order.order_variants(docs, orders))
