@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import apparatus, edits, history, order, passages, registry, undo
-from ..streaming import keyed
+from ..streaming import keyed, saving
 from .queries import query, table
 
 @query("""
@@ -430,3 +430,27 @@ def order_variants(spark, sf_dir):  # noqa: ANN001, ANN201
     }
     orders = docs.select("grp", F.explode(F.array(*(F.struct(F.lit(k).alias("text"), c.alias("own")) for k, c in own.items()))).alias("o")).select("grp", "o.text", "o.own")
     return _shown(order.order_variants(docs, orders))
+
+
+@query("""WITH o AS (SELECT o_custkey::VARCHAR AS doc_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+k AS (SELECT *, n % 4 = 0 AS stale, n % 7 = 0 AND n % 4 <> 0 AS early FROM o),
+h AS (SELECT *, sum(CASE WHEN stale OR early THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY n) AS head FROM k)
+SELECT doc_id, o_orderkey::VARCHAR AS request_id, CASE WHEN stale THEN 'rejected' ELSE 'saved' END AS outcome, head::BIGINT AS version, CASE WHEN stale THEN (head % 3 > 0)::BIGINT ELSE 0 END AS n_since,
+  CASE WHEN NOT stale AND head % 3 = 0 THEN (SELECT string_agg(b.o_orderkey::VARCHAR, ' ' ORDER BY b.n DESC) FROM h b WHERE b.doc_id = h.doc_id AND b.n <= h.n AND NOT b.stale AND NOT b.early) END AS ids
+FROM h WHERE NOT early""")
+def save_edits(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Each customer's orders as edits saved in turn: every fourth is made on the version before the head, some on versions that never come."""
+    from pyspark.sql.window import Window
+
+    over = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    rows = table(spark, sf_dir, "orders").withColumn("n", F.row_number().over(over))
+    rows = rows.withColumn("stale", F.col("n") % 4 == 0).withColumn("early", (F.col("n") % 7 == 0) & ~F.col("stale"))
+    head = F.sum(F.when(F.col("stale") | F.col("early"), 0).otherwise(1)).over(over)
+    made_on = F.when(F.col("early"), F.lit(1 << 40)).otherwise(head - 1)
+    key = F.col("o_orderkey").cast("string")
+    edit = F.to_json(F.struct(F.lit("insert").alias("t"), F.array(F.struct(key.alias("id"), F.col("o_orderstatus").alias("form"))).alias("items")))
+    at = F.timestamp_seconds(F.col("o_orderkey"))
+    requests = rows.select(F.col("o_custkey").cast("string").alias("doc_id"), key.alias("request_id"), at.alias("at"), made_on.alias("from_version"), edit.alias("edit"))
+    found = saving.save_batch(requests, 3)
+    ids = F.array_join(F.transform(F.from_json("items", "array<struct<id:string>>"), lambda x: x["id"]), " ")
+    return found.select("doc_id", "request_id", "outcome", "version", F.coalesce(F.size("since"), F.lit(0)).cast("long").alias("n_since"), ids.alias("ids"))
