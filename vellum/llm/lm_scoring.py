@@ -40,7 +40,7 @@ END = b"\xff"
 END_WORD = b" "
 BLOCK_BYTES = 16 << 20
 #: Byte strings that a task of the tree holds on average, at most; a context of two bytes is never divided.
-TASK_KEYS = 1_000_000
+TASK_KEYS = 400_000
 #: Byte strings are sorted so many at a time.
 CHUNK = 1 << 20
 
@@ -157,13 +157,13 @@ class Subtrees:
         byte = keys & 0xFF
         steps = np.arange(8)
         prefix = (1 << steps) | (byte[:, None] >> (8 - steps))
-        self.bit = (byte[:, None] >> (7 - steps)) & 1
+        self.bit = ((byte[:, None] >> (7 - steps)) & 1).astype(np.uint8)
         context = keys >> 8
         self.levels = []  # by depth, deepest first: ids, which id each decision has, zeros, ones
         for depth in range(DEPTH, 1, -1):
             node = ((context & ((1 << 8 * depth) - 1))[:, None] << 8) | prefix
             ids, at = np.unique(node, return_inverse=True)
-            at = at.reshape(node.shape)
+            at = at.reshape(node.shape).astype(np.int32)
             ones = np.bincount(at.ravel(), weights=(self.bit * counts[:, None]).ravel(), minlength=len(ids))
             total = np.bincount(at.ravel(), weights=np.broadcast_to(counts[:, None], node.shape).ravel(), minlength=len(ids))
             self.levels.append((ids, at, total - ones, ones))
