@@ -4,10 +4,8 @@ from vellum.functions import identifiers as ids, text as fx
 from vellum.operators import apparatus
 
 
-def test_attach_and_review(spark):
+def test_review(spark):
     read = spark.createDataFrame([("g", 1, "arma", True), ("g", 1, "alma", False), ("g", 2, "cano", True), ("g", 2, "", False)], "grp string, site long, key string, is_base boolean")
-    records = spark.createDataFrame([("a", "g", "arma", "x"), ("b", "g", "alma", "x"), ("c", "g", "zz", "cano"), ("d", "g", "zz", "zz")], "record_id string, grp string, lemma string, reading string")
-    assert {r["record_id"]: (r["site"], r["rule"]) for r in apparatus.attach(records, read).collect()} == {"a": (1, 1), "b": (1, 2), "c": (2, 3), "d": (None, 0)}
     assert [r["site"] for r in apparatus.backlog(read, spark.createDataFrame([("g", 2)], "grp string, site long")).collect()] == [1]
 
 

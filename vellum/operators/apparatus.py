@@ -1,25 +1,10 @@
-"""Records attached to sites, what needs review, and words that drifted from their source."""
+"""What needs review, how witnesses are named, and words that drifted from their source."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 
-
-def attach(records: DataFrame, readings: DataFrame) -> DataFrame:
-    """record_id, site, rule of each record (record_id, grp, lemma, reading: folded keys); site is null where no rule holds.
-
-    Rules in order: the lemma is the base's reading of a site; the lemma is any
-    reading; the reading is the base's. Of several sites the first counts.
-    """
-    keyed = readings.select("grp", "site", "key", "is_base")
-    asked = F.array(F.struct(F.lit(1).alias("rule"), F.col("lemma").alias("key")), F.struct(F.lit(2).alias("rule"), F.col("lemma").alias("key")), F.struct(F.lit(3).alias("rule"), F.col("reading").alias("key")))
-    wanted = records.select("record_id", "grp", F.explode(asked).alias("w")).select("record_id", "grp", "w.rule", "w.key")
-    hits = wanted.join(keyed, ["grp", "key"]).where("rule = 2 OR is_base")
-    best = hits.groupBy("record_id").agg(F.min(F.struct("rule", "site")).alias("m"))
-    return records.join(best, "record_id", "left").select("record_id", F.col("m.site").alias("site"), F.coalesce("m.rule", F.lit(0)).alias("rule"))
-
-
 def lemma_places(records: DataFrame, units: DataFrame) -> DataFrame:
     """record_id, idx: where the words of each lemma (folded, joined by spaces) stand in the base's units (grp, idx, key)."""
     words = records.select("record_id", "grp", F.posexplode(F.split("lemma", " ")).alias("k", "key"), F.size(F.split("lemma", " ")).alias("n"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import apparatus, edits, history, order, passages, registry, undo
+from ..operators import apparatus, attach, edits, history, order, passages, registry, undo
 from ..streaming import keyed, saving
+from .keeping import kept
 from .queries import query, table
 
 @query("""
@@ -324,6 +325,68 @@ def group_sigla(spark, sf_dir):  # noqa: ANN001, ANN201
     return passages.group_sigla(readings, groups).select("grp", F.array_join(F.array_sort("texts"), " ").alias("sigla"))
 
 
+ATTACH = """WITH RECURSIVE i AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_suppkey) AS supp, min(l_partkey) AS part FROM lineitem GROUP BY 1, 2),
+u AS (SELECT o_custkey AS grp, o, part, row_number() OVER (PARTITION BY o_custkey ORDER BY o, n) - 1 AS idx, CASE WHEN supp % 17 > 0 THEN chr((97 + supp % 5)::INT) END AS w, o_orderpriority AS p FROM i JOIN orders ON o = o_orderkey),
+b AS (SELECT grp, list(w ORDER BY idx) AS ws FROM u GROUP BY grp),
+d AS (SELECT grp, o, min(idx) AS f, max(idx) + 1 AS t, list(w ORDER BY idx) AS ws, min(p) AS p FROM u GROUP BY grp, o),
+s AS (SELECT grp, f, t, wanting, others, array_to_string(list_slice(ws, f + 1, t), ' ') AS key, row_number() OVER (PARTITION BY grp ORDER BY t, f DESC) AS number FROM b JOIN (
+  SELECT grp, idx AS f, idx + 1 AS t, false AS wanting, chr((97 + (part // 4) % 6)::INT) AS others FROM u WHERE part % 4 = 0 UNION ALL SELECT grp, f, t, true, '' FROM d WHERE p LIKE '1%' AND t - f > 1) USING (grp)),
+r AS (SELECT grp, o AS id, row_number() OVER (PARTITION BY grp ORDER BY o) AS k, CASE WHEN o % 11 = 0 THEN '' WHEN o % 13 = 0 THEN 'b z' ELSE array_to_string(list_slice(ws, 1, 1 + o % 3), ' ') END AS lemma, CASE WHEN o % 5 = 0 THEN coalesce(ws[-1], '') ELSE 'x' END AS reading,
+  CASE WHEN o % 2 = 0 AND t - f > 1 THEN f + 1 ELSE -1 END AS a, CASE WHEN o % 4 = 1 THEN f ELSE 0 END AS low, CASE WHEN o % 4 = 1 THEN t ELSE 1000000 END AS high FROM d),
+m AS (SELECT id, s.*, CASE WHEN a >= f AND a < t AND lemma <> '' AND key = lemma THEN 1 WHEN a >= f AND a < t AND NOT wanting THEN 2 WHEN low > f OR t > high THEN NULL WHEN lemma <> '' AND key = lemma THEN 3 WHEN lemma <> '' AND others = lemma THEN 4 WHEN reading <> '' AND key = reading THEN 5 END AS rule FROM r JOIN s USING (grp)),
+g AS (SELECT id, rule, false AS late, number, f, t, key FROM m WHERE rule IS NOT NULL),
+q AS (SELECT *, string_split(CASE WHEN lemma <> '' THEN lemma ELSE reading END, ' ') AS ph FROM r WHERE lemma <> '' OR reading <> ''),
+w AS (SELECT id, st AS f, st + len(ph) AS t, array_to_string(ph, ' ') AS key, row_number() OVER (PARTITION BY id ORDER BY a >= st AND a < st + len(ph) DESC, st) AS c FROM (SELECT q.*, ws, unnest(range(0, len(ws))) AS st FROM q JOIN b USING (grp)) WHERE list_slice(ws, st + 1, st + len(ph)) = ph AND low <= st AND st + len(ph) <= high),
+x AS (SELECT r.*, f, t, key, id IN (SELECT id FROM g) AS given FROM r LEFT JOIN w USING (id) WHERE coalesce(c, 1) = 1),
+y AS (SELECT grp, 0::BIGINT AS k, []::STRUCT(f BIGINT, t BIGINT, key VARCHAR, id BIGINT)[] AS opened FROM b
+  UNION ALL SELECT y.grp, x.k, CASE WHEN given OR x.f IS NULL OR len(list_filter(opened, lambda p: a >= p.f AND a < p.t OR low <= p.f AND p.t <= high AND (lemma <> '' AND p.key = lemma OR reading <> '' AND p.key = reading))) > 0 THEN opened ELSE list_append(opened, {'f': x.f, 't': x.t, 'key': x.key, 'id': x.id}) END FROM y JOIN x ON x.grp = y.grp AND x.k = y.k + 1),
+z AS (SELECT grp, p.f AS f, p.t AS t, p.key AS key, p.id AS number FROM (SELECT grp, unnest(arg_max(opened, k)) AS p FROM y GROUP BY grp)),
+v AS (SELECT id, CASE WHEN number = id THEN 6 WHEN a >= f AND a < t AND key = lemma THEN 1 WHEN a >= f AND a < t THEN 2 WHEN low > f OR t > high THEN NULL WHEN lemma <> '' AND key = lemma THEN 3 WHEN reading <> '' AND key = reading THEN 5 END AS rule, true AS late, number, f, t, key FROM r JOIN z USING (grp) WHERE number <= id),
+e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rule, late, number) AS c FROM (SELECT * FROM g UNION ALL SELECT * FROM v WHERE rule IS NOT NULL)) WHERE c = 1)
+"""
+
+
+def _attachment(spark, sf_dir):  # noqa: ANN001, ANN202
+    """A customer's order lines are the base's words, each order a segment: some words are places, some orders are wanting as a whole, and each order has a record on its words."""
+    from pyspark.sql.window import Window
+
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n")).agg(F.min("l_suppkey").alias("supp"), F.min("l_partkey").alias("part"))
+    rows = lines.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("grp"), F.col("o_orderpriority").alias("p")), "o")
+    word = F.when(F.col("supp") % 17 > 0, F.char(97 + F.col("supp") % 5))
+    units = kept(rows.select("grp", "o", "part", "p", (F.row_number().over(Window.partitionBy("grp").orderBy("o", "n")) - 1).alias("idx"), word.alias("word"), F.array(F.concat_ws(".", "o", "n")).alias("token_ids")))
+    orders = units.groupBy("grp", "o", "p").agg(F.min("idx").alias("from"), (F.max("idx") + 1).alias("to"), F.array_sort(F.collect_list(F.struct("idx", "word", "token_ids"))).alias("x"))
+    words = F.transform("x", lambda u: u["word"])
+    joined = F.array_join(words, " ")
+    single = units.where("part % 4 = 0").select("grp", F.col("idx").alias("from"), (F.col("idx") + 1).alias("to"), F.coalesce("word", F.lit("")).alias("key"), F.lit(False).alias("wanting"), F.char(97 + F.floor(F.col("part") / 4) % 6).alias("other"))
+    whole = orders.where("p LIKE '1%' AND to - from > 1").select("grp", "from", "to", joined.alias("key"), F.lit(True).alias("wanting"), F.lit("").alias("other"))
+    sites = single.unionByName(whole).withColumn("site", F.row_number().over(Window.partitionBy("grp").orderBy("to", F.desc("from"))))
+    both = F.explode(F.array(F.struct("key", F.lit(True).alias("is_base")), F.struct(F.col("other").alias("key"), F.lit(False).alias("is_base")))).alias("r")
+    readings = sites.select("grp", "site", "from", "to", "wanting", both).select("grp", "site", "from", "to", "wanting", "r.*")
+    o = F.col("o")
+    lemma = F.when(o % 11 == 0, None).when(o % 13 == 0, "b z").otherwise(F.array_join(F.slice(words, F.lit(1), (1 + o % 3).cast("int")), " "))
+    hangs = F.when((o % 2 == 0) & (F.size("x") > 1), F.get("x", F.lit(1))["token_ids"])
+    ranged = o % 4 == 1
+    records = orders.select(
+        o.alias("record_id"), "grp", lemma.alias("lemma"), F.when(o % 5 == 0, F.element_at(words, -1)).otherwise("x").alias("reading"), hangs.alias("anchors"),
+        F.when(ranged, F.col("from")).alias("low"), F.when(ranged, F.col("to")).alias("high"),
+    )
+    return attach.Attachment(records, readings, units.select("grp", "idx", "word", "token_ids"))
+
+
+@query(f"""{ATTACH} SELECT id AS record_id, coalesce(rule, 0) AS rule, f AS from_idx, t AS to_idx, coalesce(late, false) AS opened, coalesce(reading <> '' AND reading = key, false) AS adopted FROM r LEFT JOIN e USING (id)""")
+def attach_records(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Where each record goes, and by which rule."""
+    placed = _attachment(spark, sf_dir).placed
+    return placed.select("record_id", "rule", F.col("from").alias("from_idx"), F.col("to").alias("to_idx"), (F.col("site").isNull() & (F.col("rule") > 0)).alias("opened"), "adopted")
+
+
+@query(f"""{ATTACH}, h AS (SELECT e.f, e.t, r.grp, min(reading <> '' AND upper(reading) = upper(replace(key, ' ', ''))) AS same, count(*) AS n FROM e JOIN r USING (id) WHERE late GROUP BY 1, 2, 3)
+SELECT grp, f AS from_idx, t AS to_idx, number AS opened_by, CASE WHEN same THEN 'interpretative' ELSE 'textual' END AS site_kind FROM z JOIN h USING (grp, f, t)""")
+def attach_places(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The places that records open where no text departs, and of which kind they are."""
+    return _attachment(spark, sf_dir).opened.select("grp", F.col("from").alias("from_idx"), F.col("to").alias("to_idx"), F.col("by").alias("opened_by"), "site_kind")
+
+
 @query("""WITH r AS (SELECT l_orderkey AS grp, l_suppkey % 4 AS key, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1, 2), a AS (SELECT grp, max(n) AS m, count(*) AS k, sum(n) AS total FROM r GROUP BY grp)
 SELECT r.grp, r.key, CASE WHEN k = 1 THEN 'codd.' WHEN n = m AND n > 2 AND r.key = (SELECT min(x.key) FROM r x WHERE x.grp = r.grp AND x.n = a.m) THEN 'cett.' ELSE n::VARCHAR END AS named FROM r JOIN a ON a.grp = r.grp""")
 def name_witnesses(spark, sf_dir):  # noqa: ANN001, ANN201
