@@ -71,6 +71,8 @@ def test_passages(spark):
 
 
 def test_group_sigla(spark):
-    read = spark.createDataFrame([(1, ["A", "B", "C"]), (2, ["A"])], "site int, texts array<string>")
-    groups = spark.createDataFrame([("β", ["A", "B"])], "siglum string, members array<string>")
-    assert {r["site"]: r["texts"] for r in passages.group_sigla(read, groups).collect()} == {1: ["C", "β"], 2: ["A"]}
+    read = spark.createDataFrame([(1, ["A", "B", "C"]), (2, ["A"]), (3, []), (4, None), (5, ["D", "C", "B", "A"]), (6, ["A", "B", "C"])], "site int, texts array<string>")
+    groups = spark.createDataFrame([("β", ["A", "B"]), ("γ", ["C", "D", "B"]), ("δ", ["C", "D"]), ("ε", []), ("ζ", ["A", "Z"])], "siglum string, members array<string>")
+    got = {r["site"]: r["texts"] for r in passages.group_sigla(read, groups).collect()}
+    assert got == {1: ["C", "β"], 2: ["A"], 3: [], 4: None, 5: ["A", "γ"], 6: ["C", "β"]}
+    assert passages.group_sigla(read, groups.limit(0)).where("texts IS NULL").count() == 1
