@@ -37,10 +37,25 @@ def test_tei_leiden_layout_and_entries():
     alto = '<alto xmlns="a"><Layout><Page WIDTH="100" HEIGHT="200"><TextLine><String CONTENT="salve" HPOS="10" VPOS="20" WIDTH="50" HEIGHT="10"/></TextLine></Page></Layout></alto>'
     assert markup.layout_words(alto) == [{"line": 0, "n": 0, "form": "salve", "x": 0.1, "y": 0.1, "w": 0.5, "h": 0.05}]
     read = biblatex.entries('@string{p = "Press"} @book{a, title = {One {Two}}, journal = p # " House", year = 1990} @article{b, title = } @misc{c, month = feb,}')
-    assert [(e["kind"], e["key"], e["fields"]) for e in read if not e["fault"]] == [("book", "a", {"title": "One {Two}", "journaltitle": "Press House", "year": "1990"}), ("misc", "c", {"month": "02"})]
+    assert [(e["kind"], e["key"], e["fields"]) for e in read if not e["fault"]] == [("book", "a", {"title": "One {Two}", "journaltitle": "Press House", "year": "1990"}), ("misc", "c", {"month": "2"})]
     assert [e["kind"] for e in read if e["fault"]] == ["article"]
 
 
+def test_dates_of_entries(spark):
+    text = """@phdthesis{a, school = {Turin}, year = 1998, month = sep} @mastersthesis{b, year = { 2003 }, type = {Tesi}} @book{c, year = {ca. 1600}, month = {4}}
+@book{d, year = 1750, month = {{December}}} @book{e, year = 1750, month = {13}} @book{f, year = 1750, date = {1751}} @misc{g, month = jul} @techreport{h, year = 1980, month = {07}}"""
+    rows = biblatex.read_biblatex(spark.createDataFrame([(1, text), (2, None)], "doc int, text string"), "doc").orderBy("n").collect()
+    assert [(r["key"], r["kind"], r["fields"]) for r in rows] == [
+        ("a", "thesis", {"type": "phdthesis", "institution": "Turin", "date": "1998-09"}), ("b", "thesis", {"type": "Tesi", "date": "2003"}), ("c", "book", {"year": "ca. 1600", "month": "4"}),
+        ("d", "book", {"date": "1750-12"}), ("e", "book", {"month": "13", "date": "1750"}), ("f", "book", {"year": "1750", "date": "1751"}), ("g", "misc", {"month": "7"}), ("h", "report", {"type": "techreport", "date": "1980-07"}),
+    ]
+
+
+def test_keys_doubles_and_empty_fields():
+    read = biblatex.entries('@string{key = "K"} @book{, title = {x}} @book{a"b, title = {x}} @book{c, journal = {one}, note = {}, journaltitle = key # {2}, year = 1900}')
+    assert [(e["key"], e["fields"], bool(e["fault"])) for e in read] == [(None, {}, True), (None, {}, True), ("c", {"journaltitle": "K2", "year": "1900"}, False)]
+
+
 def test_numbered_text(spark):
     docs = spark.createDataFrame([(1, "1 arma virumque\ncano\n2) Troiae qui"), (2, "no number\nhere"), (3, "one [1.5] two [1.6]\nthree")], "doc_id int, text string")
     lines = plaintext.text_lines(docs)
