@@ -75,8 +75,7 @@ def entries(text: str) -> list[dict]:
                     raise ValueError(f"no field at {text[at : at + 20]!r}")
                 value, at = _value(text, name.end(), macros)
                 word = name[1].lower()
-                if value:  # of two the last stays
-                    fields[word if kind == "string" else FIELDS.get(word, word)] = value
+                fields[word if kind == "string" else FIELDS.get(word, word)] = value  # of two the last stays
                 at = _skip(text, at)
                 at += text[at : at + 1] == ","
             if at >= len(text):
