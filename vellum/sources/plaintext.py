@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-#: What a label looks like (1, 1.5, 3:16, 17a, 1094a1), and where it stands.
+#: Fixed values, which the results depend on. A label is a number, then any further numbers each after a dot or a
+#: colon, then perhaps one letter, which a number may follow (12.3b4). It stands at a line's start, where one dot
+#: or bracket may close it, or at a line's end, with blanks between it and the words, or anywhere in brackets.
 LABEL = r"\d+(?:[.:]\d+)*(?:[a-zA-Z]\d*)?"
 LINE_START = rf"^[ \t]*({LABEL})[.)]?[ \t]+(?=\S)"
 LINE_END = rf"(?<=\S)[ \t]+({LABEL})[ \t]*$"
