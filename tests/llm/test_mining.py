@@ -136,6 +136,34 @@ def test_assignments(text, want):
     assert got == want
 
 
+def test_values_are_kept_however_many_targets_follow():
+    between = "".join(f"n{i} = '{i}'\n" for i in range(25_000))
+    text = f"k = 'q8W7e6R5t4Y3'\n{between}password = k\n{between}token = k + 'Zz'\n"
+    got = [(kind, text[a:z]) for a, kind, z in secret_scan.Reader(text).spans()]
+    assert got == [("constant", "q8W7e6R5t4Y3"), ("literal", "Zz")]
+
+
+def test_values_that_go_on_from_others_share_them():
+    text = "v0 = 'Zx81Qw77'\n" + "".join(f"v{i} = v{i - 1} + 'é{i}'\n" for i in range(1, 20_000)) + "x = v19999\n" + "x = x + x\n" * 2000 + "password = x\n"
+    got = [(kind, text[a:z]) for a, kind, z in secret_scan.Reader(text).spans()]
+    assert got == [("constant", "Zx81Qw77"), *(("constant", f"é{i}") for i in range(1, 20_000))]
+
+
+def test_scores_of_parts_are_those_of_the_whole():
+    rng = random.Random(4)
+    bits = ["example", "your_", "change", "-me", "{{", "}}", "<", ">", "${", "}", "aA", "a", "kK\u212a", "ſecret", "se", "cret", "9f8e", "é", " ", "q8W7e6R5"]
+    for _ in range(3000):
+        parts = [rng.choice(bits) for _ in range(rng.randint(1, 9))]
+        whole = secret_scan.Value([("".join(parts), 0, 0)])
+        tree = secret_scan.Value([(p, 0, 0) for p in parts[:2]])
+        for p in parts[2:]:
+            tree = secret_scan.Value([tree, (p, 0, 0)])
+        assert [secret_scan.value_score(tree.looks(), q) for q in (False, True)] == [secret_scan.value_score(whole.looks(), q) for q in (False, True)]
+        value = "".join(parts)
+        if secret_scan.PLACEHOLDER.fullmatch(value) or re.fullmatch(r"(?i)(.)\1*", value):
+            assert secret_scan.value_score(whole.looks(), True) == 0.0
+
+
 def test_secret_scan_rows(spark, texts):
     odd = [*texts, *(t for t, _ in FOUND), 'password="Zz' + "9Q" * 40_000 + '"']
     got = {r["doc_id"]: r for r in secret_scan.secret_scan(documents(spark, odd).repartition(3)).collect()}

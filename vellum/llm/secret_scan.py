@@ -17,9 +17,12 @@ from elsewhere. Spans are those of the literal without its quotes.
 
 Fixed kinds (`assign`, `access`, `hex`) are the spans of whole matches.
 
+A value has the values that it names as parts, which are shared and never copied, and
+a score is put together from theirs: all values of a text are kept to its end, in
+room that grows with the text even where each target goes on from the one before.
+
 Defined results: null text counts as empty and has no spans; texts are scanned
-whole, values are kept for a text's KEPT last targets; equal spans of one kind are
-given once, spans of different kinds may overlap; repeated rows and null doc_ids
+whole, with the values of all their targets; equal spans of one kind are given once, spans of different kinds may overlap; repeated rows and null doc_ids
 are scanned like any other; an empty table gives no rows; other columns are ignored.
 """
 
@@ -27,8 +30,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, OrderedDict
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 from hashlib import sha256
 
 import pyarrow as pa
@@ -44,7 +49,10 @@ ASSIGN_LEAST, HEX_LEAST = 8, 32
 KINDS = ["assign", "access", "hex", "literal", "constant"]
 
 THRESHOLD = 0.4
-KEPT = 10_000
+#: Bits that make a value certain, whatever follows; a little over what value_score asks, for rounding.
+SURE = 41
+#: Counts stop here: two different characters among so many are SURE.
+MANY = 1 << 60
 #: How much a word of a target's name says, and pairs of words that say it together.
 WORDS = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 1.0, "secret": 1.0, "secrets": 1.0, "apikey": 1.0, "token": 0.9, "bearer": 0.9, "jwt": 0.9,
@@ -53,7 +61,10 @@ WORDS = {
 BEFORE_KEY = {"api", "access", "private", "secret", "encryption", "signing", "account", "auth", "master", "ssh", "shared", "deploy", "license"}
 #: Last words of names that hold something about a secret, not the secret.
 ABOUT = {"name", "file", "path", "url", "uri", "length", "len", "size", "count", "type", "id", "hint", "policy", "field", "label", "expiry", "expires", "ttl", "header", "format", "prefix", "regex", "pattern", "min", "max", "timeout", "limit", "rules", "help", "prompt", "strength", "enabled", "required"}
-PLACEHOLDER = re.compile(r"(?i)change[_-]?me|example.*|placeholder|dummy|test|sample|none|null|nil|true|false|undefined|redacted|password|secret|token|your[_-].*|<.*>|\$\{.*\}|\{\{.*\}\}|(.)\1*")
+PLACEHOLDER = re.compile(r"(?i)change[_-]?me|example.*|placeholder|dummy|test|sample|none|null|nil|true|false|undefined|redacted|password|secret|token|your[_-].*|<.*>|\$\{.*\}|\{\{.*\}\}")
+#: First characters that decide, with the last two, whether a value is a placeholder: more than any fixed one has.
+HEAD = 12
+SAME = re.compile(r"(?i)(.)\1*")
 
 NAME = r"[A-Za-z_$@][\w$]*(?:(?:\.|->|::|-)[A-Za-z_$][\w$]*)*"
 TARGET = re.compile(
@@ -81,46 +92,114 @@ def name_score(name: str) -> float:
     return score * (0.2 if words and words[-1] in ABOUT else 1.0)
 
 
-def value_score(value: str, quoted: bool) -> float:
+def bits_of(counts: Counter) -> float:
+    """How much so many characters say, by their own frequencies. Those of more text never say less."""
+    n = counts.total()
+    if len(counts) < 2:
+        return 0.0
+    return math.inf if n >= MANY else -sum(c * math.log2(c / n) for c in counts.values())
+
+
+@dataclass(slots=True)
+class Looks:
+    """What value_score asks of a text; that of texts put together comes from theirs. Few fields are long: counts are None once SURE, and 12 different characters are."""
+
+    size: int
+    head: str
+    tail: str
+    same: bool
+    kinds: int
+    space: bool
+    counts: Counter | None
+
+    @classmethod
+    def of(cls, text: str) -> Looks:
+        counts = Counter(text)
+        kinds = sum(any(map(f, counts)) << k for k, f in enumerate((str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum())))
+        return cls(len(text), text[:HEAD], text[-2:], bool(SAME.fullmatch("".join(counts))), kinds, any(map(str.isspace, counts)), counts if bits_of(counts) < SURE else None)
+
+    def then(self, more: Looks) -> Looks:
+        if not (self.size and more.size):
+            return self if self.size else more
+        counts = None
+        if self.counts is not None and more.counts is not None:
+            counts = self.counts + more.counts
+            counts = Counter({c: min(n, MANY) for c, n in counts.items()})
+        same = self.same and more.same and bool(SAME.fullmatch(self.head[0] + more.head[0]))
+        return Looks(min(self.size + more.size, MANY), (self.head + more.head)[:HEAD], (self.tail + more.tail)[-2:], same, self.kinds | more.kinds, self.space or more.space, counts if counts is not None and bits_of(counts) < SURE else None)
+
+
+def value_score(value: Looks, quoted: bool) -> float:
     """How much a value looks like a secret, 0 to 1: 40 bits by its own letters' frequencies make it certain."""
-    if len(value) < 6 or PLACEHOLDER.fullmatch(value):
+    if value.size < 6 or value.same or PLACEHOLDER.fullmatch(value.head + value.tail * (value.size > HEAD)):
         return 0.0
-    n = len(value)
-    bits = -sum(c * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    score = min(1.0, bits / 40)
-    if not quoted and kinds < 2:
+    score = 1.0 if value.counts is None else min(1.0, bits_of(value.counts) / 40)
+    if not quoted and value.kinds.bit_count() < 2:
         score *= 0.3  # a word of prose after a colon
-    if any(c.isspace() for c in value):
+    if value.space:
         score *= 0.4
     return score
 
 
+class Value:
+    """What a target holds: literals, and values that it has from elsewhere."""
+
+    __slots__ = ("parts", "_looks", "given")
+
+    def __init__(self, parts: list[Piece | Value]) -> None:
+        self.parts = tuple(p for p in parts if isinstance(p, Value) or p[0])
+        self._looks: Looks | None = None
+        self.given = False
+
+    def looks(self) -> Looks:
+        todo = [self]  # values may hang on each other in long rows
+        while todo:
+            value = todo[-1]
+            waiting = [p for p in value.parts if isinstance(p, Value) and p._looks is None]
+            if not waiting:
+                value._looks = reduce(Looks.then, (p._looks if isinstance(p, Value) else Looks.of(p[0]) for p in value.parts), Looks.of(""))
+                todo.pop()
+            todo += waiting
+        return self._looks
+
+    def spans(self, begin: int) -> Iterator[tuple[int, str, int]]:
+        """start, kind, end of its literals; those from before `begin` once, whatever else they reach."""
+        todo = list(reversed(self.parts))
+        while todo:
+            part = todo.pop()
+            if not isinstance(part, Value):
+                yield part[1], "literal" if part[1] >= begin else "constant", part[2]
+            elif not part.given:
+                part.given = True
+                todo += reversed(part.parts)
+
+
 class Reader:
     """The assignments of one text in order, with the values of the names so far."""
 
     def __init__(self, text: str) -> None:
         self.text = text
-        self.values: OrderedDict[str, tuple[Piece, ...]] = OrderedDict()
+        self.values: dict[str, Value] = {}
 
-    def value_of(self, name: str) -> tuple[Piece, ...] | None:
+    def value_of(self, name: str) -> Value | None:
         found = self.values.get(name)
         return self.values.get(re.split(r"\.|->|::", name)[-1]) if found is None else found
 
-    def interpolated(self, piece: Piece) -> list[Piece]:
-        """A literal in pieces: what it says itself, and the literals of the names that it interpolates."""
+    def interpolated(self, piece: Piece) -> list[Piece | Value]:
+        """A literal in pieces: what it says itself, and the values of the names that it interpolates."""
         text, start, _ = piece
-        out, at = [], 0
+        out: list[Piece | Value] = []
+        at = 0
         for m in INSIDE.finditer(text):
             known = self.value_of(next(filter(None, m.groups())))
-            if known:
-                out += [(text[at : m.start()], start + at, start + m.start())] * (m.start() > at) + list(known)
+            if known and known.parts:
+                out += [(text[at : m.start()], start + at, start + m.start())] * (m.start() > at) + [known]
                 at = m.end()
         return out + [(text[at:], start + at, start + len(text))] * (at < len(text) or not out)
 
-    def expression(self, at: int) -> tuple[list[Piece], bool, int]:
-        """The literals that make up the value that begins here, whether one was quoted, and where it ends."""
-        pieces: list[Piece] = []
+    def expression(self, at: int) -> tuple[list[Piece | Value], bool, int]:
+        """The literals and values that make up the value that begins here, whether one was quoted, and where it ends."""
+        pieces: list[Piece | Value] = []
         quoted, text = False, self.text
         while True:
             if m := STRING.match(text, at):
@@ -128,7 +207,7 @@ class Reader:
                 pieces += self.interpolated((m[group], m.start(group), m.end(group)))
                 quoted = True
             elif (m := ONLY_NAME.match(text, at)) and (known := self.value_of(m[0])) is not None:
-                pieces += known
+                pieces += [known] * bool(known.parts)
                 quoted = True
             elif not pieces and not quoted:
                 scheme = SCHEME.match(text, at)
@@ -154,14 +233,9 @@ class Reader:
             at = begin if not pieces else max(end, begin)
             if not pieces:
                 continue
-            self.values[name] = tuple(p for p in pieces if p[0])
-            self.values.move_to_end(name)
-            if len(self.values) > KEPT:
-                self.values.popitem(last=False)
-            if (score := name_score(name)) and score * value_score("".join(p[0] for p in pieces), quoted) >= THRESHOLD:
-                for text, a, z in pieces:
-                    if text:
-                        yield a, "literal" if a >= begin else "constant", z
+            value = self.values[name] = Value(pieces)
+            if (score := name_score(name)) and score * value_score(value.looks(), quoted) >= THRESHOLD:
+                yield from value.spans(begin)
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
