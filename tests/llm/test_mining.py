@@ -79,6 +79,26 @@ def test_collocations_of_null_language_and_long_text(spark, monkeypatch):
     assert got == mined([long], ["und"], 100) and got
 
 
+def test_sums_by_hash_are_not_put_together_in_few_tasks(spark, monkeypatch):
+    """A task that sums phrases by hash holds all its different ones: only arrays of counts, as large for any task, are made by few."""
+    seen, option = {}, "spark.sql.files.maxPartitionBytes"
+    for name in ("frequent_hashes", "candidates", "counted"):
+        plain = getattr(collocations, name)
+        monkeypatch.setattr(collocations, name, lambda blocks, *rest, plain=plain, name=name: (seen.setdefault(name, set()).add(blocks.rdd.getNumPartitions()), plain(blocks, *rest))[1])
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(30)) for _ in range(96)]
+    rows = documents(spark, texts, dict.fromkeys(range(96), "en")).repartition(24)
+    before = spark.conf.get(option)
+    spark.conf.set(option, "16k")
+    try:
+        got = sorted(map(tuple, collocations.collocations(rows, support=20).collect()))
+    finally:
+        spark.conf.set(option, before)
+    assert got == mined(texts, ["en"] * 96, 20) and got
+    few = 2 * spark.sparkContext.defaultParallelism
+    assert min(seen["frequent_hashes"]) >= 24 > few >= max(seen["candidates"] | seen["counted"])
+
+
 def test_a_shared_hash_asks_for_another_seed(spark, monkeypatch):
     """Whatever finds two things under one hash, everything is done again with the next seed."""
     texts, asked = ["one two three " * 9] * 3, []

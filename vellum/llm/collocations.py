@@ -40,7 +40,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import stored
+from .common import release, stored
 from .perfect_hash import PerfectHash, build, mixed
 
 SUPPORT = 100
@@ -132,7 +132,10 @@ def encoded(docs: DataFrame, seed: int, longest: int = LONGEST) -> DataFrame:
                 if size >= FLUSH or len(known) >= KNOWN:
                     yield from write()
                     known, held, size = Vocabulary(seed), {}, 0
+                    release()
         yield from write()
+        known, held = Vocabulary(seed), {}
+        release()
 
     src = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return src.mapInArrow(run, "lang string, ids binary, own long, word string, h long, n long")
@@ -246,6 +249,7 @@ def frequent_hashes(blocks: DataFrame, seed: int, maps: list[np.ndarray], bits:
                     some = slice(k, k + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h[some]), length)), pa.array(h[some].view(np.int64)), pa.array(n[some])], names=["length", "h", "n"])
             held.clear()
+            release()
 
         for b in batches:
             for lang, ids, own in windows(b, seed):
@@ -286,6 +290,7 @@ def candidates(blocks: DataFrame, seed: int, maps: list[np.ndarray], bits: int,
                     keys = pa.Array.from_buffers(pa.binary(8 * (length + 1)), len(some), [None, data]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(some[:, 0].view(np.int64)), keys], names=["h", "key"])
             held.clear()
+            release()
 
         for b in batches:
             for lang, ids, own in windows(b, seed):
@@ -471,17 +476,18 @@ def mined(docs: DataFrame, seed: int, support: int, longest: int, round_slots: i
         return None
     size = totals.agg(F.sum("n")).first()[0] or 0
     # every mapper makes a whole array of counts, so there are no more of them than there is counting for
-    blocks = blocks.coalesce(max(2 * spark.sparkContext.defaultParallelism, size // (16 * round_slots)))
+    makers = max(2 * spark.sparkContext.defaultParallelism, size // (16 * round_slots))
     maps = [bitmap(word_hashes(words, seed, support), bits)]
     with batches_of(spark, BLOCK_ROWS):
-        return counted_and_cut(blocks, words, totals, maps, seed, support, longest, round_slots, shard_slots, bits)
+        return counted_and_cut(blocks, makers, words, totals, maps, seed, support, longest, round_slots, shard_slots, bits)
 
 
-def counted_and_cut(blocks: DataFrame, words: DataFrame, totals: DataFrame, maps: list[np.ndarray], seed: int, support: int, longest: int, round_slots: int, shard_slots: int, bits: int) -> tuple[DataFrame, DataFrame] | None:
-    """The passes over the blocks, and the cuts."""
+def counted_and_cut(blocks: DataFrame, makers: int, words: DataFrame, totals: DataFrame, maps: list[np.ndarray], seed: int, support: int, longest: int, round_slots: int, shard_slots: int, bits: int) -> tuple[DataFrame, DataFrame] | None:
+    """The passes over the blocks, and the cuts. Sums by hash hold a task's different hashes, so their tasks stay as small as they were read; arrays of counts are made by `makers` tasks."""
     spark = blocks.sparkSession
     for reach in sorted({min(2, longest), longest}):
         maps = maps + frequent_hashes(blocks, seed, maps, bits, reach, support)
+    blocks = blocks.coalesce(makers)
     found = stored(candidates(blocks, seed, maps, bits, longest), "candidates")
     if not _distinct_hashes(found, "h", "key"):
         return None
