@@ -4,37 +4,63 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs. All but the last return the
 columns of documents. Where rows repeat a doc_id, a stage's decision on the
 doc_id holds for all of them, and exact dedup leaves one.
+
+A stage sets how many rows Spark hands to Python at once, and so the memory of
+the Python workers, which live on from stage to stage beside the executor's own.
+Results are made after a stage has returned, so that stays set in the session.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vellum.llm import exact_dedup, near_dedup, packing, quality_rules, substring_dedup
 from vellum.llm.common import stored
 
+#: By default it is 10,000 rows, however large they are.
+BATCH_ROWS = 1000
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def small_batches(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@small_batches
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@small_batches
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays."""
     return exact_dedup.keep_first(docs)
 
 
+@small_batches
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of a class of near copies the document with the smallest id stays."""
     return near_dedup.keep_first(docs)
 
 
+@small_batches
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long passages that repeat are cut from the texts."""
     return substring_dedup.without_repeats(docs)
 
 
+@small_batches
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left, packed into sequences."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
