@@ -3,7 +3,8 @@
 The vocabulary file is a parameter; it is read once in each Python worker. A
 text is cut before every single space that a non-space follows; no piece of the
 pre-tokeniser's pattern crosses such a cut, so a stretch's ids depend on the
-stretch alone and a bounded cache holds those of recent stretches.
+stretch alone and a bounded cache holds those of recent stretches; when it is
+full, those used since it was last full stay.
 
 Defined results: null text counts as empty (no ids); an empty table gives no
 rows; the special tokens named in the file are found in a text before all else,
@@ -30,6 +31,9 @@ from .common import narrow
 #: The pattern is part of the byte-level format and a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CUT = re.compile(r" (?=\S)")
+OTHER_SPACE = re.compile(r" (?!\S)")
+#: A space and such a stretch are one piece.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 
 
 def byte_symbols() -> dict[int, str]:
@@ -53,65 +57,119 @@ class Recent(dict):
         return value
 
 
+class Lasting(Recent):
+    """A cache of two generations: at the limit the younger one becomes the older, from which what is asked for comes back.
+
+    Keys of over longest characters are not kept, so that texts without spaces don't fill the memory.
+    """
+
+    def __init__(self, make, limit: int, longest: int = 64):
+        super().__init__(make, limit)
+        self.longest = longest
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class ByteBPE:
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 690_000):  # from 699,051 keys on a dict takes twice the memory
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         vocab = file["model"]["vocab"]
         symbol = byte_symbols()
         back = {c: b for b, c in symbol.items()}
         self.base = [vocab[symbol[b]] for b in range(256)]
-        self.merges: dict[int, tuple[int, int]] = {}
+        ids = max(vocab.values()) + 1
+        #: The id of no symbol; it stands after the last one and where one was merged away.
+        self.none = ids
+        #: For each symbol, the ranks of its pairs by the symbol to the right.
+        self.ranks: list[dict[int, int]] = [unpaired := {}] * (ids + 1)
+        self.made = []
         for rank, pair in enumerate(file["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[left] << 32 | vocab[right]] = (rank, vocab[left + right])
-        self.made = [new for _, new in sorted(self.merges.values())]
-        self.strings = {i: bytes(back[c] for c in s) for s, i in vocab.items()}
+            if self.ranks[i := vocab[left]] is unpaired:
+                self.ranks[i] = {}
+            self.ranks[i][vocab[right]] = rank
+            self.made.append(vocab[left + right])
+        strings = {i: bytes(back[c] for c in s) for s, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in file.get("added_tokens", ())}
-        self.strings |= {i: s.encode() for s, i in self.special.items()}
+        strings |= {i: s.encode() for s, i in self.special.items()}
+        self.strings = np.empty(max(strings) + 1, object)
+        self.strings[list(strings)] = list(strings.values())
         self.is_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = regex.compile(PATTERN)
-        self.of_piece = Recent(self._piece, limit)
-        self.of_stretch = Recent(self._stretch, limit)
+        #: Of stretches after a cut, without their space; it has their first pieces, too.
+        self.of_stretch = Lasting(self._stretch, limit)
+        self.of_piece = Lasting(self._piece, limit // 4)
 
     def _piece(self, piece: str) -> bytes:
         """Merge the pair of lowest rank, leftmost first, until none is left."""
-        ids = [self.base[b] for b in piece.encode()]
-        n, merges = len(ids), self.merges
+        ids = [*map(self.base.__getitem__, piece.encode())]
+        n, ranks, made, none = len(ids), self.ranks, self.made, self.none
         if n == 1:
             return struct.pack("<I", ids[0])
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [m[0] << 32 | i for i in range(n - 1) if (m := merges.get(ids[i] << 32 | ids[i + 1]))]
+        ids.append(none)
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        bits = 14 if n < 1 << 14 else 32  # small numbers are faster
+        place = (1 << bits) - 1
+        waits = []  # at each symbol the queue's entry of its pair: rank and place
+        row = ranks[ids[0]]
+        for i, right in enumerate(ids[1:]):
+            waits.append(row[right] << bits | i if right in row else None)
+            row = ranks[right]
+        waits.append(None)
+        queue = [entry for entry in waits if entry is not None]
         heapify(queue)
         while queue:
             top = heappop(queue)
-            rank, i = top >> 32, top & 0xFFFFFFFF
-            j = after[i]
-            if ids[i] < 0 or j >= n:
-                continue
-            m = merges.get(ids[i] << 32 | ids[j])
-            if m is None or m[0] != rank:
+            i = top & place
+            if waits[i] != top:
                 continue  # stale: one of its two symbols has since been merged
-            ids[i], ids[j] = m[1], -1
+            j = after[i]
+            new = ids[i] = made[top >> bits]
+            ids[j], waits[j] = none, None
             k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                if m := merges.get(ids[i] << 32 | ids[k]):
-                    heappush(queue, m[0] << 32 | i)
-            if (h := before[i]) >= 0 and (m := merges.get(ids[h] << 32 | ids[i])):
-                heappush(queue, m[0] << 32 | h)
-        ids = [x for x in ids if x >= 0]
+            before[k] = i
+            row, right = ranks[new], ids[k]
+            if right in row:
+                waits[i] = entry = row[right] << bits | i
+                heappush(queue, entry)
+            else:
+                waits[i] = None
+            if (h := before[i]) >= 0:
+                row = ranks[ids[h]]
+                if new in row:
+                    waits[h] = entry = row[new] << bits | h
+                    heappush(queue, entry)
+                else:
+                    waits[h] = None
+        ids = [x for x in ids if x != none]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _stretch(self, stretch: str) -> bytes:
-        return b"".join(map(self.of_piece.__getitem__, self.pieces.findall(stretch)))
+        """Ids of a space and the stretch."""
+        if LETTERS.fullmatch(stretch):
+            return self._piece(" " + stretch)
+        first, *rest = self.pieces.findall(" " + stretch)
+        if not rest:
+            return self._piece(first)
+        return self.of_stretch[first[1:]] + b"".join(map(self.of_piece.__getitem__, rest))
 
     def _plain(self, text: str) -> bytes:
         if not text:
             return b""
-        cut = CUT.split(text)
-        get = self.of_stretch.__getitem__
-        return get(cut[0]) + b"".join([get(" " + s) for s in cut[1:]])
+        first, *rest = CUT.split(text) if OTHER_SPACE.search(text) else text.split(" ")
+        return b"".join(map(self.of_piece.__getitem__, self.pieces.findall(first))) + b"".join(map(self.of_stretch.__getitem__, rest))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -120,7 +178,7 @@ class ByteBPE:
         return b"".join(struct.pack("<I", self.special[s]) if k % 2 else self._plain(s) for k, s in enumerate(self.is_special.split(text)))
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return b"".join(self.strings.take(np.frombuffer(ids, "<u4")).tolist()).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
