@@ -76,3 +76,17 @@ def test_group_sigla(spark):
     got = {r["site"]: r["texts"] for r in passages.group_sigla(read, groups).collect()}
     assert got == {1: ["C", "β"], 2: ["A"], 3: [], 4: None, 5: ["A", "γ"], 6: ["C", "β"]}
     assert passages.group_sigla(read, groups.limit(0)).where("texts IS NULL").count() == 1
+
+
+def test_documents_are_folded_as_rows_in_order(spark):
+    """No group is handed to Python by itself, however many there are; the checkpoint at or before the version asked for counts."""
+    put = lambda v: json.dumps({"t": "insert", "after": None, "items": [{"id": f"i{v}"}]})
+    log = spark.createDataFrame([(f"d{d}", v, put(v)) for d in range(50) for v in range(1, 10)], "doc_id string, version long, edit string")
+    points = spark.createDataFrame([("d1", 3, '[{"id": "x"}]'), ("d1", 5, '[{"id": "y"}]'), ("d1", 8, '[{"id": "z"}]'), ("d2", 6, '[{"id": "w"}]')], "doc_id string, version long, items string")
+    wanted = spark.createDataFrame([(f"d{d}", 6) for d in range(40)] + [("none", 6)], "doc_id string, version long")
+    found = edits.rebuilt(log, points, wanted)
+    got = {r["doc_id"]: [x["id"] for x in json.loads(r["items"])] for r in found.collect()}
+    plain = [f"i{v}" for v in range(6, 0, -1)]
+    assert got == {f"d{d}": plain for d in range(40)} | {"d1": ["i6", "y"], "d2": ["w"], "none": []}
+    for df in (found, edits.fold_edits(log, points)):
+        assert "FlatMapGroups" not in df._jdf.queryExecution().toString()

@@ -4,15 +4,24 @@ An edit is one of insert (items after an id, null: at the start), delete (ids),
 set (fields of an id; a null value removes the field), move (ids after an id),
 split (an id's form at a code point, the rest under new_id), join (the
 opposite) and replace (items in place of a run of ids). A document's edits are folded in version order; documents are
-independent, so they are dealt by doc_id, and a checkpoint cuts what is folded.
+independent, so they are dealt by doc_id, and a checkpoint cuts what is folded. A task has its documents one after
+another, as rows in order, and holds the state of one.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+#: Rows and letters of one batch that a fold gives back.
+ROWS, LETTERS = 2_000, 4_000_000
 
 
 class Edit(ValueError):
@@ -98,6 +107,40 @@ def apply_edit(items: list[dict], edit: dict) -> dict:
     return {"t": "all", "edits": [undo, {"t": "set", "id": rest["id"], "fields": others}]} if others else undo
 
 
+def streamed(rows: DataFrame, order: list[Column | str], fold: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, key: str = "doc_id") -> DataFrame:
+    """What fold makes of the rows, which it gets as tuples: those of a key together, in order. Nothing holds more of a key than fold does."""
+    names, shape = rows.columns, to_arrow_schema(StructType.fromDDL(schema))
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), shape, strict=True)], schema=shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tuples = (t for b in batches for t in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        out, letters = [], 0
+        for t in fold(tuples):
+            out.append(t)
+            letters += sum(len(x) for x in t if isinstance(x, str))
+            if len(out) >= ROWS or letters >= LETTERS:
+                yield batch(out)
+                out, letters = [], 0
+        if out:
+            yield batch(out)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).select(*names).mapInArrow(run, schema)
+
+
+def dumped(items: list[dict]) -> str:
+    return json.dumps(items, sort_keys=True)
+
+
+def applied(items: list[dict], edit: str) -> str | None:
+    """Changes items in place and returns the reverse (JSON), or None for an edit that does not fit."""
+    try:
+        return json.dumps(apply_edit(items, json.loads(edit)), sort_keys=True)
+    except (Edit, KeyError):
+        return None
+
+
 def fold_edits(log: DataFrame, checkpoints: DataFrame | None = None, every: int = 0) -> DataFrame:
     """doc_id, version, ok, reverse (JSON) of each edit of log (doc_id, version, edit as JSON), and items (JSON) of a document's last version.
 
@@ -108,38 +151,59 @@ def fold_edits(log: DataFrame, checkpoints: DataFrame | None = None, every: int
     """
     rows = log.select("doc_id", "version", "edit", F.lit(None).cast("string").alias("items"))
     if checkpoints is not None:
-        last = checkpoints.groupBy("doc_id").agg(F.max("version").alias("from_version"), F.max_by("items", "version").alias("items"))
-        rows = rows.join(last.select("doc_id", "from_version"), "doc_id", "left").where("from_version IS NULL OR version > from_version").drop("from_version")
-        rows = rows.unionByName(last.select("doc_id", F.col("from_version").alias("version"), F.lit(None).cast("string").alias("edit"), "items"))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        items, out = [], []
-        frame = frame.sort_values("version")
-        end = frame["version"].iloc[-1]
-        for r in frame.itertuples():
-            if r.edit is None:
-                items = json.loads(r.items)
-                continue
-            try:
-                reverse, ok = json.dumps(apply_edit(items, json.loads(r.edit)), sort_keys=True), True
-            except (Edit, KeyError):
-                reverse, ok = None, False
-            state = json.dumps(items, sort_keys=True) if r.version == end or every and r.version % every == 0 else None
-            out.append((r.doc_id, r.version, ok, state, reverse))
-        return pd.DataFrame(out, columns=["doc_id", "version", "ok", "items", "reverse"])
-
-    return rows.groupBy("doc_id").applyInPandas(run, "doc_id string, version long, ok boolean, items string, reverse string")
+        last = checkpoints.groupBy("doc_id").agg(F.max("version").alias("version"), F.max_by("items", "version").alias("items"))
+        rows = rows.unionByName(last.select("doc_id", "version", F.lit(None).cast("string").alias("edit"), "items"))
+
+    def fold(tuples: Iterator[tuple]) -> Iterator[tuple]:
+        for doc, own in groupby(tuples, itemgetter(0)):
+            items, begin = [], None
+            held: list[list] = []  # the rows of the latest version, until it is known whether it is the last
+            for _, version, edit, at_point in own:
+                if edit is None:
+                    items, begin = json.loads(at_point), version
+                    continue
+                if begin is not None and version <= begin:
+                    continue
+                if held:
+                    again, kept = held[-1][1] == version, every and held[-1][1] % every == 0
+                    if again or kept:
+                        held[-1][3] = dumped(items)
+                    if not again:
+                        yield from ((*r[:3], r[3] if kept else None, r[4]) for r in held)
+                        held = []
+                reverse = applied(items, edit)
+                held.append([doc, version, reverse is not None, None, reverse])
+            if held:
+                held[-1][3] = dumped(items)
+                yield from map(tuple, held)
+
+    return streamed(rows, [F.col("edit").isNotNull(), F.asc_nulls_last("version"), "edit"], fold, "doc_id string, version long, ok boolean, items string, reverse string")
 
 
 def rebuilt(log: DataFrame, checkpoints: DataFrame, versions: DataFrame) -> DataFrame:
     """doc_id, version, items: the state at the version asked for (one a document), from the checkpoint at or before it."""
-    wanted = versions.select("doc_id", F.col("version").alias("wanted"))
-    upto = log.join(wanted, "doc_id").where("version <= wanted").drop("wanted")
-    points = checkpoints.join(wanted, "doc_id").where("version <= wanted").drop("wanted")
-    folded = fold_edits(upto, points).where("items IS NOT NULL").select("doc_id", "items")
-    at_point = points.groupBy("doc_id").agg(F.max_by("items", "version").alias("kept"))
-    found = versions.join(folded, "doc_id", "left").join(at_point, "doc_id", "left")
-    return found.select("doc_id", "version", F.coalesce("items", "kept", F.lit("[]")).alias("items"))
+    none = F.lit(None).cast("string")
+    wanted = versions.select("doc_id", F.lit(0).alias("what"), "version", none.alias("value"))
+    points = checkpoints.select("doc_id", F.lit(1).alias("what"), "version", F.col("items").alias("value"))
+    rows = wanted.unionByName(points).unionByName(log.select("doc_id", F.lit(2).alias("what"), "version", F.col("edit").alias("value")))
+
+    def fold(tuples: Iterator[tuple]) -> Iterator[tuple]:
+        for doc, own in groupby(tuples, itemgetter(0)):
+            what, end = next(own)[1:3]
+            if what:
+                continue  # nothing is asked for
+            begin, point, items = None, "[]", None
+            for _, what, version, value in own:
+                if end is None or version is None or version > end:
+                    continue
+                if what == 1:
+                    begin, point = version, value
+                elif begin is None or version > begin:
+                    items = json.loads(point) if items is None else items
+                    applied(items, value)
+            yield doc, end, point if items is None else dumped(items)
+
+    return streamed(rows, ["what", "version", "value"], fold, "doc_id string, version long, items string")
 
 
 def composed(changes: DataFrame, keys: list[str]) -> DataFrame:
