@@ -116,3 +116,8 @@ def test_stream_started_anew_goes_on(rocks, tmp_path):
     got, want = rows_of(found), stepped(batches, 4)
     assert plain(got) == plain(want)
     assert {"saved", "rejected", "repeated"} <= {x[0] for v in got.values() for x in v}
+
+
+def test_batch_hands_python_no_groups(spark):
+    df = spark.createDataFrame(random_requests(2, 20), SCHEMA)
+    assert "FlatMapGroups" not in saving.save_batch(df)._jdf.queryExecution().toString()

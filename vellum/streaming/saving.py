@@ -17,13 +17,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.edits import Edit, apply_edit
+from ..operators.edits import Edit, apply_edit, streamed
 
 #: Versions from one checkpoint to the next.
 EVERY = 50
@@ -90,10 +92,15 @@ def _requests(frame: pd.DataFrame) -> list[Request]:
 def save_batch(requests: DataFrame, every: int = EVERY) -> DataFrame:
     """All requests at once, on empty documents; those that still wait for their version have no row."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_taken(frame["doc_id"].iloc[0], Head(0, [], []), _requests(frame), every)[0], columns=_COLUMNS)
+    def fold(tuples: Iterator[tuple]) -> Iterator[tuple]:
+        for doc, own in groupby(tuples, itemgetter(0)):
+            head = Head(0, [], [])
+            for _, version, request, edit, _ in own:
+                if version <= head.version:
+                    yield doc, request, *head.take(Request(version, None, request, edit), every)
 
-    return requests.select("doc_id", *Request._fields).groupBy("doc_id").applyInPandas(run, RESULT)
+    rows = requests.select("doc_id", "from_version", "request_id", "edit", "at")
+    return streamed(rows, ["from_version", "at", "request_id", "edit"], fold, RESULT)
 
 
 class _Saving(StatefulProcessor):
