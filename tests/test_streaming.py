@@ -43,3 +43,14 @@ def test_sessions(spark):
     rows = frame(spark)
     got = keyed.session_counts(rows, "user", "at", "30 seconds").groupBy("user").agg(F.count("*").alias("s"), F.sum("n").alias("n")).collect()
     assert {(r["user"], r["s"], r["n"]) for r in got} == {(1, 2, 4), (2, 1, 1)}
+
+
+def test_rate_limit_in_one_pass(spark):
+    """No window is handed to Python by itself; hits without a time come last and count in the window that is open."""
+    times = [0, 30, None, 90, None, 100, 500]
+    hits = spark.createDataFrame([(u, i, None if t is None else datetime(2024, 1, 1, t // 3600, t // 60 % 60, t % 60)) for u in (None, 1) for i, t in enumerate(times)], "user long, hit_id long, at timestamp")
+    found = keyed.rate_limit_batch(hits, "user", "at", 2, 60)
+    want = {0: True, 1: True, 3: True, 5: True, 6: True, 2: True, 4: False}
+    got = found.collect()
+    assert len(got) == 14 and all(r["allowed"] == want[r["hit_id"]] for r in got)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
@@ -79,21 +80,28 @@ def _limited(times: list[int], start: int, count: int, window_us: int, limit: in
 def rate_limit_batch(hits: DataFrame, key: str, at: str, limit: int, window_s: int) -> DataFrame:
     """Adds allowed: a window opens with the first hit and admits so many.
 
-    A pause of a window's length makes the next hit the first of a window whatever
-    came before, so a key's hits are cut there, and the pieces are dealt out.
+    A task reads the hits of its keys in order and holds the window of one, so a key
+    may have any number of them. A hit without a time comes last and falls in the window that is open.
     """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([at, "hit_id"])
-        times = (frame[at].astype("int64") // 1000).tolist()
-        return frame.assign(allowed=_limited(times, 0, 0, window_s * 1_000_000, limit)[0])[[key, "hit_id", "allowed"]]
-
+    window_us = window_s * 1_000_000
     schema = f"{key} {hits.schema[key].dataType.simpleString()}, hit_id {hits.schema['hit_id'].dataType.simpleString()}, allowed boolean"
-    micros = hits.select(key, "hit_id", F.col(at).cast("timestamp_ntz").alias(at))
-    over = Window.partitionBy(key).orderBy(at, "hit_id")
-    waited = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(over).cast("timestamp"))
-    cut = micros.withColumn("__w", F.coalesce((waited >= window_s * 1_000_000).cast("long"), F.lit(1))).withColumn("__piece", F.sum("__w").over(over)).drop("__w")
-    return cut.groupBy(key, "__piece").applyInPandas(run, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, start, count = None, None, 0
+        for batch in batches:
+            keys, ids, times = batch.columns
+            allowed = []
+            for k, t in zip(keys.to_pylist(), times.cast(pa.int64()).to_pylist(), strict=True):
+                if k != of:
+                    of, count = k, 0
+                if count == 0 or t is not None and t - start >= window_us:
+                    start, count = t, 0
+                count += 1
+                allowed.append(count <= limit)
+            yield pa.RecordBatch.from_arrays([keys, ids, pa.array(allowed, pa.bool_())], names=[key, "hit_id", "allowed"])
+
+    rows = hits.select(key, "hit_id", F.col(at).cast("timestamp_ntz").alias(at))
+    return rows.repartition(key).sortWithinPartitions(key, F.asc_nulls_last(at), "hit_id").mapInArrow(run, schema)
 
 
 def rate_limit(hits: DataFrame, key: str, at: str, limit: int, window_s: int) -> DataFrame:
