@@ -67,3 +67,8 @@ def test_numbered_text(spark):
     assert [(r["form"], r["label"]) for r in got] == [("one", None), ("two", "1.5"), ("three", "1.6")]
     every = plaintext.numbered_words(lines.where("doc_id = 2"), "every-line").orderBy("line", "pos").collect()
     assert [(r["form"], r["label"]) for r in every] == [("no", "1"), ("number", None), ("here", "2")]
+
+
+def test_leiden_joins_only_at_the_end_of_a_line():
+    found = [(x["form"], x["join_next"]) for x in markup.leiden_items("wo- rd wo- \nrd") if x["kind"] == "token"]
+    assert found == [("wo-", False), ("rd", False), ("wo", True), ("rd", False)]
