@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from vellum.functions import text as fx
+from vellum.functions import scheme, text as fx
 from vellum.operators import registry
 
 
@@ -22,3 +22,13 @@ def test_labels_of_one_hot_label_stay_apart(spark):
     rows = spark.range(1, 18_281).select(F.col("id"), F.lit("x ").alias("label"))
     shown = {r["id"]: r["shown"] for r in registry.disambiguated(rows, "label", ["id"]).select("id", "shown").collect()}
     assert shown == {n: "x " + suffix(n) for n in range(1, 18_281)}
+
+
+def test_relabel_reads_each_label_once(spark):
+    old, new = [scheme.Level("book"), scheme.Level("line")], [scheme.Level("part"), scheme.Level("item", "text", ",")]
+    rows = spark.createDataFrame([("1.2",), (" 12.34a ",), ("1.2.3",), ("x.1",), ("1.",), ("",), (None,)], "label string")
+    found = scheme.relabel(rows, old, new, "label")
+    got = [(r["new_label"], r["new_key"]) for r in found.collect()]
+    assert got == [("1,2", "00000001.2       "), ("12,34a", "00000012.34a     "), ("1,2.3", "00000001.2.3     "), (None, None), (None, None), (None, None), (None, None)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(label") == 1
+    assert [r["new_label"] for r in scheme.relabel(rows, old, [*new, scheme.Level("more")], "label").collect()] == [None] * 7

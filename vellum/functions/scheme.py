@@ -7,7 +7,7 @@ an address is a map of level key to value.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -53,10 +53,20 @@ def address_key(levels: Sequence[Level], address: Column) -> Column:
     return sort_key(*(number_key(_value(address, x)) if x.kind == "number" else text_key(_value(address, x)) for x in levels))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of the value, which is computed once a row, however often it is named there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _own(level: Level) -> str:
     return "[0-9]" if level.kind == "number" else "[^0-9]"
 
 
+def _begins(level: Level, letter: Column) -> Column:
+    digit = letter.between("0", "9")
+    return digit if level.kind == "number" else (letter != "") & ~digit
+
+
 def parse_label(levels: Sequence[Level], label: Column | str) -> Column:
     """The address of a label as a map, or null where it is none of the scheme.
 
@@ -66,52 +76,59 @@ def parse_label(levels: Sequence[Level], label: Column | str) -> Column:
     where a level has no separator before it, the level above has all that is of
     its own kind, so levels of one kind need one (see scheme_faults).
     """
-    text = F.regexp_replace(F.col(label) if isinstance(label, str) else label, r"(?U)^\s+|\s+$", "")
-    size = F.char_length(text)
+    last = len(levels) - 1
 
-    def rest(at: Column) -> Column:
-        return F.substring(text, at, size)
+    def read(text: Column) -> Column:
+        size = F.char_length(text)
+        places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
 
-    def run(at: Column, level: Level) -> Column:
-        """How many characters from there are of the level's kind."""
-        return F.char_length(F.regexp_extract(rest(at), f"^{_own(level)}*", 0))
+        def rest(at: Column) -> Column:
+            return F.substring(text, at, size)
 
-    def begins(at: Column, i: int) -> Column:
-        free = levels[i].kind == "text" and (i == 0 or levels[i].separator != "")
-        return F.lit(True) if free else F.substring(text, at, F.lit(1)).rlike(_own(levels[i]))
+        def run(at: Column, level: Level) -> Column:
+            """How many characters from there are of the level's kind."""
+            return F.char_length(F.regexp_extract(rest(at), f"^{_own(level)}*", 0))
 
-    # from the right: readable[i] are the places where level i may begin, ends[i] those where its separator to the next may stand
-    last = len(levels) - 1
-    places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    readable: list[Column] = [F.filter(places, lambda p: begins(p, last))]
-    ends: list[Column | None] = [None]
-    for i in range(last - 1, -1, -1):
-        parted, following = levels[i + 1].separator, readable[0]
-        if parted:
-            ends.insert(0, F.filter(places, lambda p: (F.substring(text, p, F.lit(len(parted))) == parted) & F.array_contains(following, p + len(parted))))  # noqa: B023
-            after = F.array_max(ends[0])
-            readable.insert(0, F.filter(places, lambda p: (p < after) & begins(p, i)))  # noqa: B023
-        else:
-            ends.insert(0, None)
-            readable.insert(0, F.filter(places, lambda p: (run(p, levels[i]) > 0) & F.array_contains(following, p + run(p, levels[i]))))  # noqa: B023
-
-    at, found = F.lit(1), []
-    for i, level in enumerate(levels):
-        if i == last:
-            found.append(rest(at))
-        elif ends[i] is None:
-            found.append(F.substring(text, at, run(at, level)))
-            at = at + run(at, level)
-        else:
-            start = at
-            end = F.array_min(F.filter(ends[i], lambda p: p > start))  # noqa: B023
-            found.append(F.substring(text, at, end - at))
-            at = end + len(levels[i + 1].separator)
-    values = [F.btrim(v) for v in found]
-    whole = F.array_contains(readable[0], 1)
-    for v in values:
-        whole = whole & (v != "")
-    return F.when(whole, F.create_map(*[x for level, v in zip(levels, values, strict=True) for x in (F.lit(level.key), v)]))
+        def begins(at: Column, i: int) -> Column:
+            free = levels[i].kind == "text" and (i == 0 or levels[i].separator != "")
+            return F.lit(True) if free else _begins(levels[i], F.substring(text, at, F.lit(1)))
+
+        def leftwards(i: int, following: Column, ends: list[Column | None]) -> Column:
+            """following: the places where level i + 1 may begin; ends: of the levels after i, where the separator to the next may stand."""
+            parted = levels[i + 1].separator
+            if parted:
+
+                def before(own: Column) -> Column:
+                    after = F.array_max(own)
+                    if i == 0:
+                        return F.when((after > 1) & begins(F.lit(1), 0), rightwards(0, F.lit(1), [], [own, *ends]))
+                    return _let(F.filter(places, lambda p: (p < after) & begins(p, i)), lambda x: leftwards(i - 1, x, [own, *ends]))
+
+                stand = F.transform(following, lambda p: p - len(parted))
+                return _let(F.filter(stand, lambda p: (p > 0) & (F.substring(text, p, F.lit(len(parted))) == parted)), before)
+
+            def readable(p: Column) -> Column:
+                return _let(run(p, levels[i]), lambda n: (n > 0) & F.array_contains(following, p + n))
+
+            if i == 0:
+                return F.when(readable(F.lit(1)), rightwards(0, F.lit(1), [], [None, *ends]))
+            return _let(F.filter(places, readable), lambda x: leftwards(i - 1, x, [None, *ends]))
+
+        def rightwards(i: int, at: Column, found: list[Column], ends: list[Column | None]) -> Column:
+            if i == last:
+                values = F.array(*map(F.btrim, [*found, rest(at)]))
+                named = lambda v: F.create_map(*[x for k, level in enumerate(levels) for x in (F.lit(level.key), F.get(v, F.lit(k)))])
+                return _let(values, lambda v: F.when(~F.array_contains(v, ""), named(v)))
+            own = ends[i]
+            end = at + run(at, levels[i]) if own is None else F.array_min(F.filter(own, lambda p: p > at))
+            width = len(levels[i + 1].separator)
+            return _let(end, lambda p: rightwards(i + 1, p + width, [*found, F.substring(text, at, p - at)], ends))
+
+        if last == 0:
+            return F.when((size > 0) & begins(F.lit(1), 0), rightwards(0, F.lit(1), [], [None]))
+        return _let(F.filter(places, lambda p: begins(p, last)), lambda x: leftwards(last - 1, x, [None]))
+
+    return _let(F.regexp_replace(F.col(label) if isinstance(label, str) else label, r"(?U)^\s+|\s+$", ""), read)
 
 
 def scheme_faults(levels: Sequence[Level]) -> list[str]:
@@ -161,10 +178,11 @@ def resolve_starts(starts: DataFrame, levels: Sequence[Level], doc: str, order:
 
 def relabel(segments: DataFrame, old: Sequence[Level], new: Sequence[Level], label: str) -> DataFrame:
     """After a change of scheme: label and sort_key anew from each address, kept by the position of the level; null where a level is missing."""
-    address = parse_label(old, label)
-    moved = F.create_map(*[x for a, b in zip(old, new, strict=False) for x in (F.lit(b.key), address[a.key])])
-    whole = F.lit(len(new) <= len(old)) & address.isNotNull()
-    return segments.withColumn("__a", F.when(whole, moved)).withColumn("new_label", F.when(whole, format_label(new, F.col("__a")))).withColumn("new_key", F.when(whole, address_key(new, F.col("__a")))).drop("__a")
+    wholes = lambda a: F.create_map(*[x for o, n in zip(old, new, strict=False) for x in (F.lit(n.key), a[o.key])])
+    shown = lambda m: F.struct(format_label(new, m).alias("new_label"), address_key(new, m).alias("new_key"))
+    none = F.lit(None).cast("struct<new_label:string,new_key:string>")
+    made = _let(parse_label(old, label), lambda a: F.when(a.isNotNull(), _let(wholes(a), shown))) if len(new) <= len(old) else none
+    return segments.withColumn("__a", made).withColumn("new_label", F.col("__a.new_label")).withColumn("new_key", F.col("__a.new_key")).drop("__a")
 
 
 def label_ranges(rows: DataFrame, keys: Sequence[str], order: str, label: str) -> DataFrame:
