@@ -37,3 +37,15 @@ def test_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_rows(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+def test_items_move_their_texts_once(spark):
+    """Texts are shuffled, not their items; windows by document need no further shuffle."""
+    from vellum.operators import items as ops
+    from vellum.plans import streams
+
+    rows = streams.items(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+    runs = ops.words(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in runs and runs.count("Exchange hashpartitioning") == 1
