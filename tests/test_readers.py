@@ -72,3 +72,14 @@ def test_numbered_text(spark):
 def test_leiden_joins_only_at_the_end_of_a_line():
     found = [(x["form"], x["join_next"]) for x in markup.leiden_items("wo- rd wo- \nrd") if x["kind"] == "token"]
     assert found == [("wo-", False), ("rd", False), ("wo", True), ("rd", False)]
+
+
+def test_readers_keep_keys_beside_a_null_one(spark):
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(big, "a ⟦b⟧ [ca. 5]"), (None, "c"), (7, None)], "doc_id long, text string").coalesce(1)
+    got = [(r["doc_id"], r["pos"], r["form"], [m["kind"] for m in r["marks"]], r["attrs"]) for r in markup.read_leiden(docs).collect()]
+    assert got == [(big, 0, "a", [], None), (big, 1, "b", ["del"], None), (big, 2, None, [], {"extent": "5", "unit": "character", "precision": "low"}), (None, 0, "c", [], None)]
+    broken = spark.createDataFrame([(big, "<TEI><text>a</TEI>"), (None, '<TEI><text><body><hi rend="b">x</hi></body></text></TEI>')], "doc_id long, text string").coalesce(1)
+    bad, good = markup.read_tei(broken).collect()
+    assert bad["doc_id"] == big and bad["fault"] and bad["pos"] is None
+    assert good["doc_id"] is None and good["marks"][0]["attrs"] == {"rend": "b"}
